@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.llm.documentation import pairs
 from linkloom.llm.encoding import decode, encode
 from linkloom.llm.leaks import leaked_pairs, leaks, removal_spans
 from linkloom.llm.source_kind import classify
@@ -19,6 +20,14 @@ def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
     return classify(table(spark, d, "file_manifest")).groupBy("kind").agg(F.count("*").alias("files"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs(table(spark, d, "nodes"), table(spark, d, "source_files")).select("node_id").distinct()
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs(table(spark, d, "nodes"), table(spark, d, "source_files"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
@@ -37,6 +46,6 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return removal_spans(found).withColumn("items", F.array_join("items", ","))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p6_ids, p6_round_trip, p7_found, p7_spans)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p5_found, p5_pairs, p6_ids, p6_round_trip, p7_found, p7_spans)}
 
 ORACLE = {"p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
