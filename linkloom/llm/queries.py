@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.llm.documentation import pairs
 from linkloom.llm.encoding import decode, encode
 from linkloom.llm.leaks import leaked_pairs, leaks, removal_spans
+from linkloom.llm.mojibake import garbled, restored
 from linkloom.llm.source_kind import classify
 from linkloom.session import cut, table
 
@@ -46,6 +47,14 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return removal_spans(found).withColumn("items", F.array_join("items", ","))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p5_found, p5_pairs, p6_ids, p6_round_trip, p7_found, p7_spans)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(table(spark, d, "documents"))
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return restored(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p5_found, p5_pairs, p6_ids, p6_round_trip, p7_found, p7_spans, p8_found, p8_restored)}
 
 ORACLE = {"p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
