@@ -1,6 +1,6 @@
 """The registry of queries and of the SQL that gives the same rows."""
 
-from linkloom.queries import dealt
+from linkloom.queries import dealt, graph
 
-QUERIES = {**dealt.QUERIES}
-ORACLE = {**dealt.ORACLE}
+QUERIES = {**dealt.QUERIES, **graph.QUERIES}
+ORACLE = {**dealt.ORACLE, **graph.ORACLE}
