@@ -87,8 +87,8 @@ def headed_rows(texts: DataFrame) -> DataFrame:
 def comment_text(c: Column) -> Column:
     """A comment or string without its marks."""
     c = F.regexp_replace(c, r"^[rRbBuUfF]{0,2}(\"\"\"|'''|\"|')|(\"\"\"|'''|\"|')$", "")
-    c = F.regexp_replace(c, r"(?m)^[ \t]*(/\*+!?|\*/|\*(?!/)|//[/!]*|#(?![\[a-z]))|\*/\s*$", "")
-    return F.trim(F.regexp_replace(c, r"\r", ""))
+    c = F.regexp_replace(c, r"(?m)^[ \t]*(/\*+!?|\*/|\*(?!/)|//[/!]*|#(?![\[a-z])) ?|\*/\s*$", "")
+    return F.regexp_replace(c, r"\r|^\s+|\s+$", "")
 
 
 # How placeholders, references, directives and tags are usually written.
