@@ -8,6 +8,7 @@ visited again.
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import html
 import re
@@ -23,27 +24,28 @@ DEPTH = 5
 #: Bits by which a text must become cheaper, and as a share of its cost: for UTF-8 read as something
 #: else, which hardly arises by chance, and for one 8-bit encoding read as another.
 UTF8_BITS, UTF8_SHARE = 7.0, 0.05
-SINGLE_BITS, SINGLE_SHARE, SINGLE_SIGNS = 60.0, 0.22, 8
-#: Bits a pair from which a line is tried with pairs of 8-bit encodings.
-ODD_BITS = 13.0
+SINGLE_BITS, SINGLE_SHARE, SINGLE_SIGNS = 18.0, 0.08, 6
+#: Bits a pair above what is usual for its script, from which swaps of 8-bit encodings are tried.
+ODD_BITS = 2.0
 #: Share of a word's and of a line's signs above ASCII that must be UTF-8 sequences; in alphabets that
 #: are not Latin such signs stand side by side in any text, so nearly all must.
 LATIN_SHARES, OTHER_SHARES = (0.51, 0.0), (0.85, 0.8)
 _CHARGE = 22.0  # bits of a control character or replacement mark
 
 # Encodings that texts are read in by mistake.
-SINGLE = ["cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "cp1253", "iso8859-7", "cp1254", "iso8859-9", "iso8859-15", "cp1257", "cp437", "cp850", "cp852", "cp866", "koi8-r", "koi8-u", "mac-roman", "mac-cyrillic", "mac-latin2", "iso8859-5", "cp737"]
+SINGLE = ["cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "cp1253", "iso8859-7", "cp1254", "iso8859-9", "iso8859-15", "cp1257", "cp437", "cp850", "cp852", "cp866", "koi8-r", "koi8-u", "mac-roman", "mac-cyrillic", "iso8859-5", "cp737"]
 TRUE_SINGLE = ["cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic", "cp1253", "iso8859-7", "cp1254", "cp437", "cp850", "cp852", "mac-roman"]
 MULTI = ["gbk", "gb18030", "big5", "cp932", "euc-jp", "euc-kr"]
 
 _QUOTED = re.compile(r"`[^`\n]{1,40}`|[\"'][^\x00-\x7f]{1,4}[\"']")
-_SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
+_SEQUENCE = re.compile(b"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _OTHER = {"cp1251", "cp1253", "iso8859-7", "cp866", "koi8-r", "koi8-u", "mac-cyrillic", "iso8859-5", "cp737"}
 # signs that a text may hold; scripts of which a few bytes give single signs by chance are left out
 _USUAL = re.compile("[\x00-\x7f\xa0-\u017f\u0192\u0218-\u021b\u02c6-\u02dd\u0300-\u0345\u0370-\u045f\u0490-\u0491\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u2190-\u22ff\u2300-\u23ff\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufb01-\ufb02\ufe0f\uff00-\uffef\U0001f000-\U0001faff\U0001d400-\U0001d7ff\U00020000-\U0002ffff\ufeff\x80-\x9f]*")
 _FOREIGN = re.compile("[\u0530-\u0fff\u1e00-\u1fff]{3,}")
 _LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])|\?\?+(?=[^\W\d_])|(?<=[^\W\d_])\?\?+(?=\s[^\W\d_])")
-_WORD = re.compile(r"[^ \t\r\n]+")
+_WIDE = re.compile("[　-鿿가-힯｡-ﾟ]")
+_HIGH_WORD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*[^\x00-\x7f][^ \t\r\n]*")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -52,11 +54,19 @@ def _table(encoding: str) -> list[str]:
     return [chr(b) if b < 128 else bytes([b]).decode(encoding, "ignore") or chr(b) for b in range(256)]
 
 
+def _unlike(table: list[str]) -> list[str]:
+    """A table without repeated signs, as building an encoder needs it."""
+    seen: set[str] = set()
+    return [c if c not in seen and not seen.add(c) else "\ufffe" for c in table]
+
+
 class _Codecs:
     def __init__(self):
         self.tables = {e: _table(e) for e in {*SINGLE, *TRUE_SINGLE}}
         # sign to byte, of the upper half; signs without a byte go to a place that is no byte
         self.bytes = {e: {ord(c): b for b, c in reversed(list(enumerate(t))) if b > 127} for e, t in self.tables.items()}
+        self.encoders = {e: codecs.charmap_build("".join(_unlike(t))) for e, t in self.tables.items()}
+        self.decoders = {e: "".join(t) for e, t in self.tables.items()}
         self.pairs = {}
         for read in SINGLE:
             for true in TRUE_SINGLE:
@@ -64,39 +74,47 @@ class _Codecs:
                     same = {c: self.tables[true][b] for c, b in self.bytes[read].items()}
                     if any(chr(c) != x for c, x in same.items()):
                         self.pairs[read, true] = same
-        lead = lambda t: re.escape("".join(t[b] for b in range(0xC2, 0xF5)))
-        trail = lambda t: re.escape("".join(t[b] for b in range(0x80, 0xC0)))
-        self.gate = re.compile("|".join(f"[{lead(self.tables[e])}][{trail(self.tables[e])}]" for e in SINGLE))
-
-    def utf8(self, text: str, encoding: str) -> str | None:
+        # first bytes of the signs that texts hold; where a code page has letters of common words or
+        # everyday punctuation in their place, fewer of them start a search
+        two, more = [*range(0xC2, 0xC6), 0xC8, 0xCE, 0xCF, *range(0xD0, 0xD3), *range(0xD6, 0xDC)], [*range(0xE0, 0xF1)]
+        letters = {0xC2, 0xC3, 0xC4, 0xC5, 0xC8}
+        less = {"mac-roman": {0xC8, *range(0xD2, 0xD8)}, "cp866": {*more}, "cp737": {*more}, "koi8-r": letters, "koi8-u": letters}
+        signs = lambda t, places: f"[{re.escape(''.join(t[b] for b in places))}]"
+        starts = []
+        for e in SINGLE:
+            t, after = self.tables[e], signs(self.tables[e], range(0x80, 0xC0))
+            for lead, rest in ((two, after), (more, after * 2)):
+                if lead := [b for b in lead if b not in less.get(e, ())]:
+                    starts.append(signs(t, lead) + rest)
+        self.gate = re.compile("|".join(dict.fromkeys(starts)))
+
+    def utf8(self, text: str, encoding: str, size: int) -> str | None:
         """Bytes of ``encoding`` read as UTF-8, in words that are mostly such sequences."""
-        to, (in_word, in_line) = self.bytes[encoding], OTHER_SHARES if encoding in _OTHER else LATIN_SHARES
-        done = 0
-
-        def word(m: re.Match) -> str:
-            nonlocal done
-            w = m.group()
-            high = sum(c > "\x7f" for c in w)
-            if high < 2:
-                return w
-            t = "".join(chr(to.get(ord(c), 0x100)) if c > "\x7f" else c for c in w)
-            found = list(_SEQUENCE.finditer(t))
-            size = sum(len(f.group()) for f in found)
-            if not found or size < in_word * high:
-                return w
-            out, at = [], 0
-            for f in found:
-                sign = f.group().encode("latin-1").decode("utf-8", "replace")
-                out += [w[at : f.start()], sign]
-                at = f.end()
-            new = "".join([*out, w[at:]])
-            if not _USUAL.fullmatch(_FOREIGN.sub("", new)):
-                return w
-            done += size
-            return new
-
-        new = _WORD.sub(word, text)
-        return new if done and done >= in_line * sum(map(len, _HIGH.findall(text))) else None
+        # one byte a sign: what the encoding doesn't have becomes "?"
+        t = codecs.charmap_encode(text, "replace", self.encoders[encoding])[0]
+        found = list(_SEQUENCE.finditer(t))
+        in_word, in_line = OTHER_SHARES if encoding in _OTHER else LATIN_SHARES
+        high = size * in_line
+        if not found or sum(f.end() - f.start() for f in found) < high:
+            return None
+        out, at, k, done = [], 0, 0, 0
+        for word in _HIGH_WORD.finditer(text):
+            own = []
+            while k < len(found) and found[k].start() < word.end():
+                own.append(found[k])
+                k += 1
+            size = sum(f.end() - f.start() for f in own)
+            if not own or size < in_word * sum(map(len, _HIGH.findall(word.group()))):
+                continue
+            new, here = [], word.start()
+            for f in own:
+                new += [text[here : f.start()], f.group().decode("utf-8", "replace")]
+                here = f.end()
+            fresh = "".join([*new, text[here : word.end()]])
+            if _USUAL.fullmatch(_FOREIGN.sub("", fresh)):
+                out += [text[at : word.start()], fresh]
+                at, done = word.end(), done + size
+        return "".join([*out, text[at:]]) if done and done >= high else None
 
     def multi(self, text: str, encoding: str) -> str | None:
         """Runs of signs encoded by a multi-byte encoding and read as UTF-8, with little loss."""
@@ -117,9 +135,36 @@ class _Codecs:
         new = re.sub(r"[^\x00-\x7f]{2,}", run, text)
         return new if changed else None
 
-    def single(self, text: str, read: str, true: str) -> str | None:
-        new = text.translate(self.pairs[read, true])
-        return new if new != text else None
+    def steps(self, text: str, single: bool) -> Iterator[tuple[str, bool]]:
+        """The states one step away, and whether the step swaps 8-bit encodings. Encodings that give the
+        signs of this text the same bytes are one; of swaps only those are tried that know the signs."""
+        high = {c for run in _HIGH.findall(text) for c in run}
+        signs = [ord(c) for c in sorted(high)]
+        known: dict[tuple, str] = {}
+        for e in SINGLE:
+            known.setdefault(tuple(map(self.bytes[e].get, signs)), e)
+        if self.gate.search(text):
+            size = sum(map(len, _HIGH.findall(text)))
+            for key, e in known.items():
+                if len(key) - key.count(None) >= 2 and (new := self.utf8(text, e, size)):
+                    yield new, False
+        if _WIDE.search(text):
+            for e in MULTI:
+                if new := self.multi(text, e):
+                    yield new, False
+        if single and signs:
+            for key, read in known.items():
+                lacking = sum(b is None for b in key)
+                if lacking > 0.1 * len(key):
+                    continue
+                raw = None if lacking else codecs.charmap_encode(text, "strict", self.encoders[read])[0]
+                tried = set()
+                for true in TRUE_SINGLE:
+                    table = self.tables[true]
+                    signs_there = tuple(b and table[b] for b in key)
+                    if (read, true) in self.pairs and signs_there not in tried:
+                        tried.add(signs_there)
+                        yield codecs.charmap_decode(raw, "strict", self.decoders[true])[0] if raw else text.translate(self.pairs[read, true]), True
 
 
 def _classes() -> np.ndarray:
@@ -163,6 +208,12 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"pair": keys, "n": n.astype(np.int64)})
 
 
+def _script(pairs: np.ndarray) -> np.ndarray:
+    """0 Latin, 1 Greek, 2 Cyrillic, 3 other, by the sign of a pair that isn't ASCII."""
+    sign = np.where((pairs & 0xFFFF) > 127, pairs & 0xFFFF, pairs >> 16)
+    return np.searchsorted([0x250, 0x400, 0x530], sign, "right")
+
+
 class _Model:
     def __init__(self, pairs: np.ndarray, counts: np.ndarray):
         order = np.argsort(pairs)
@@ -170,9 +221,11 @@ class _Model:
         total = max(1.0, float(counts.sum()))
         self.bits = -np.log2((counts + 0.5) / total)
         self.unseen = min(24.0, float(-np.log2(0.5 / total)) + 1)
+        script = _script(self.pairs)
+        self.usual = np.bincount(script, counts * self.bits, minlength=4) / np.maximum(1, np.bincount(script, counts, minlength=4))
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits, and pairs with a sign that isn't ASCII, of each text."""
+        """Bits of each text, and by how much a pair of it exceeds what is usual for its script."""
         keys, line = _pairs_of(texts)
         at = np.minimum(np.searchsorted(self.pairs, keys), max(0, len(self.pairs) - 1))
         bits = np.where(self.pairs[at] == keys, self.bits[at], self.unseen) if len(self.pairs) else np.full(len(keys), self.unseen)
@@ -180,61 +233,58 @@ class _Model:
         # control characters and replacement marks belong to no text, however many garbled ones have them
         bits = np.where(((second >= 0x80) & (second < 0xA0)) | (second == _MARK), np.maximum(bits, _CHARGE), bits)
         n = len(texts)
-        return np.bincount(line, bits, minlength=n)[:n], np.bincount(line, minlength=n)[:n]
+        excess = np.bincount(line, bits - self.usual[_script(keys)], minlength=n)[:n] / np.maximum(1, np.bincount(line, minlength=n)[:n])
+        return np.bincount(line, bits, minlength=n)[:n], excess
+
 
-    def cost(self, text: str) -> float:
-        return float(self.of([text])[0][0])
+def _odd(text: str, excess: float) -> bool:
+    return excess >= ODD_BITS and sum(map(len, _HIGH.findall(text))) >= SINGLE_SIGNS
 
 
-def _search(text: str, codecs: _Codecs, model: _Model, odd: bool) -> tuple[str, bool]:
+def _search(text: str, coders: _Codecs, model: _Model) -> tuple[str, bool]:
     """The cheapest reachable text, and whether it is so much cheaper that the given one is garbled."""
-    start = model.cost(text)
-    best, best_cost, best_single = text, start, False
-    heap, seen = [(start, 0, text, False)], {text}
+    (start,), (excess,) = model.of([text])
+    best, best_cost = text, float(start)
+    heap, seen = [(best_cost, 0, text, False, float(excess))], {text}
     while heap:
-        cost, depth, state, single = heapq.heappop(heap)
-        if depth >= DEPTH or cost > 1.5 * best_cost + UTF8_BITS:
-            continue
-        steps = [(codecs.utf8(state, e), single) for e in SINGLE] if codecs.gate.search(state) else []
-        if re.search("[　-鿿가-힯｡-ﾟ]", state):
-            steps += [(codecs.multi(state, e), single) for e in MULTI]
-        if odd and not single:
-            steps += [(codecs.single(state, *p), True) for p in codecs.pairs]
-        if "&" in state and depth:
-            steps.append((html.unescape(state), single))
-        new = list({s: one for s, one in steps if s is not None and s not in seen}.items())
+        cost, depth, state, swapped, excess = heapq.heappop(heap)
+        if depth >= DEPTH or cost > best_cost:
+            break
+        new = {s: one for s, one in coders.steps(state, not swapped and _odd(state, excess)) if s not in seen}
+        if depth and "&" in state:
+            new.setdefault(html.unescape(state), swapped)
+        new.pop(state, None)
         if not new:
             continue
-        seen.update(s for s, _ in new)
-        for (s, one), c in zip(new, model.of([s for s, _ in new])[0].tolist(), strict=True):
+        seen.update(new)
+        bits, excesses = model.of(list(new))
+        for (s, one), c, x in zip(new.items(), bits.tolist(), excesses.tolist(), strict=True):
+            one |= swapped
             need, share = (SINGLE_BITS, SINGLE_SHARE) if one else (UTF8_BITS, UTF8_SHARE)
             if c < best_cost and start - c >= max(need, share * start):
-                best, best_cost, best_single = s, c, one
-            # a second misreading on top of the first must be worth looking at
-            if not one or c < cost:
-                heapq.heappush(heap, (c, depth + 1, s, one))
+                best, best_cost = s, c
+            if c < cost:
+                heapq.heappush(heap, (c, depth + 1, s, one, x))
     return best, best_cost < start
 
 
 def _repair(pairs: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codecs, model = _Codecs(), _Model(pairs, counts)
+        coders, model = _Codecs(), _Model(pairs, counts)
         for f in batches:
             if not len(f):
                 continue
             lines = list(f["line"])
             bare = [_QUOTED.sub(" ", x) for x in lines]
-            bits, signs = model.of(bare)
+            _, excess = model.of(bare)
             rows = []
             for i, (x, b) in enumerate(zip(lines, bare, strict=True)):
                 # what is quoted beyond ASCII is an example: it is taken out of the search and stays
                 quotes = [q for q in _QUOTED.findall(x) if not q.isascii()]
                 held = _QUOTED.sub(lambda m: m.group() if m.group().isascii() else "\x01", x) if quotes else x
-                high = sum(map(len, _HIGH.findall(b)))
-                odd = high >= SINGLE_SIGNS and bits[i] >= ODD_BITS * max(1, signs[i])
                 lost = "�" in b or len(_LOST.findall(b)) >= 2 or bool(re.search("[\x80-\x84\x86-\x9f]", b))
-                worth = odd or (high >= 2 and (codecs.gate.search(b) or re.search("[　-鿿｡-ﾟ]", b)))
-                fixed, better = _search(held, codecs, model, odd) if worth else (held, False)
+                worth = coders.gate.search(b) or _WIDE.search(b) or _odd(b, excess[i])
+                fixed, better = _search(held, coders, model) if worth else (held, False)
                 fixed = re.sub("\x01", lambda _, q=iter(quotes): next(q), fixed)
                 if better or lost:
                     left = not better or "�" in _QUOTED.sub(" ", fixed)
