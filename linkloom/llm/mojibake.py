@@ -42,8 +42,10 @@ _SEQUENCE = re.compile(b"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1
 _OTHER = {"cp1251", "cp1253", "iso8859-7", "cp866", "koi8-r", "koi8-u", "mac-cyrillic", "iso8859-5", "cp737"}
 # signs that a text may hold; scripts of which a few bytes give single signs by chance are left out
 _USUAL = re.compile("[\x00-\x7f\xa0-\u017f\u0192\u0218-\u021b\u02c6-\u02dd\u0300-\u0345\u0370-\u045f\u0490-\u0491\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u2190-\u22ff\u2300-\u23ff\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufb01-\ufb02\ufe0f\uff00-\uffef\U0001f000-\U0001faff\U0001d400-\U0001d7ff\U00020000-\U0002ffff\ufeff\x80-\x9f]*")
+_MIXED = re.compile("[\u3041-\u9fff\uac00-\ud7a3](?=[\u00c0-\u052f])|[\u00c0-\u052f](?=[\u3041-\u9fff\uac00-\ud7a3])")
 _FOREIGN = re.compile("[\u0530-\u0fff\u1e00-\u1fff]{3,}")
 _LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])|\?\?+(?=[^\W\d_])|(?<=[^\W\d_])\?\?+(?=\s[^\W\d_])")
+_CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _WIDE = re.compile("[　-鿿가-힯｡-ﾟ]")
 _HIGH_WORD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*[^\x00-\x7f][^ \t\r\n]*")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
@@ -81,13 +83,27 @@ class _Codecs:
         less = {"mac-roman": {0xC8, *range(0xD2, 0xD8)}, "cp866": {*more}, "cp737": {*more}, "koi8-r": letters, "koi8-u": letters}
         signs = lambda t, places: f"[{re.escape(''.join(t[b] for b in places))}]"
         starts = []
-        for e in SINGLE:
+        # the same for whole batches: bits of the encodings in which a sign begins or goes on with a sequence
+        self.leads2, self.leads3, self.trails = (np.zeros(0x10000, np.uint32) for _ in range(3))
+        for k, e in enumerate(SINGLE):
             t, after = self.tables[e], signs(self.tables[e], range(0x80, 0xC0))
+            self.trails[[ord(t[b]) for b in range(0x80, 0xC0)]] |= np.uint32(1 << k)
+            for mask, lead in ((self.leads2, two), (self.leads3, more)):
+                mask[[ord(t[b]) for b in lead if b not in less.get(e, ())]] |= np.uint32(1 << k)
             for lead, rest in ((two, after), (more, after * 2)):
                 if lead := [b for b in lead if b not in less.get(e, ())]:
                     starts.append(signs(t, lead) + rest)
         self.gate = re.compile("|".join(dict.fromkeys(starts)))
 
+    def worth_a_look(self, texts: list[str]) -> np.ndarray:
+        """True for texts with a possible start of UTF-8 read as something else, or East Asian signs."""
+        signs = np.frombuffer(("\n".join(texts) + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        plane = np.where(signs < 0x10000, signs, 0).astype(np.int64)
+        a, b, c = plane[:-2], plane[1:-1], plane[2:]
+        hit = (self.leads2[a] & self.trails[b]) | (self.leads3[a] & self.trails[b] & self.trails[c]) | ((a >= 0x3000) & (a < 0xD7A4)) | ((a > 0xFF60) & (a < 0xFFA0))
+        line = np.cumsum(signs == 10) - (signs == 10)
+        return np.bincount(line[:-2][hit > 0], minlength=len(texts))[: len(texts)] > 0
+
     def utf8(self, text: str, encoding: str, size: int) -> str | None:
         """Bytes of ``encoding`` read as UTF-8, in words that are mostly such sequences."""
         # one byte a sign: what the encoding doesn't have becomes "?"
@@ -111,7 +127,7 @@ class _Codecs:
                 new += [text[here : f.start()], f.group().decode("utf-8", "replace")]
                 here = f.end()
             fresh = "".join([*new, text[here : word.end()]])
-            if _USUAL.fullmatch(_FOREIGN.sub("", fresh)):
+            if _USUAL.fullmatch(_FOREIGN.sub("", fresh)) and not _MIXED.search(fresh):
                 out += [text[at : word.start()], fresh]
                 at, done = word.end(), done + size
         return "".join([*out, text[at:]]) if done and done >= high else None
@@ -135,24 +151,22 @@ class _Codecs:
         new = re.sub(r"[^\x00-\x7f]{2,}", run, text)
         return new if changed else None
 
-    def steps(self, text: str, single: bool) -> Iterator[tuple[str, bool]]:
-        """The states one step away, and whether the step swaps 8-bit encodings. Encodings that give the
+    def steps(self, text: str, swap: bool) -> Iterator[str]:
+        """The states one step away: by UTF-8, or by swaps of 8-bit encodings. Encodings that give the
         signs of this text the same bytes are one; of swaps only those are tried that know the signs."""
         high = {c for run in _HIGH.findall(text) for c in run}
         signs = [ord(c) for c in sorted(high)]
         known: dict[tuple, str] = {}
         for e in SINGLE:
             known.setdefault(tuple(map(self.bytes[e].get, signs)), e)
-        if self.gate.search(text):
+        if not swap:
             size = sum(map(len, _HIGH.findall(text)))
             for key, e in known.items():
                 if len(key) - key.count(None) >= 2 and (new := self.utf8(text, e, size)):
-                    yield new, False
-        if _WIDE.search(text):
-            for e in MULTI:
-                if new := self.multi(text, e):
-                    yield new, False
-        if single and signs:
+                    yield new
+            if _WIDE.search(text):
+                yield from filter(None, (self.multi(text, e) for e in MULTI))
+        else:
             for key, read in known.items():
                 lacking = sum(b is None for b in key)
                 if lacking > 0.1 * len(key):
@@ -164,7 +178,7 @@ class _Codecs:
                     signs_there = tuple(b and table[b] for b in key)
                     if (read, true) in self.pairs and signs_there not in tried:
                         tried.add(signs_there)
-                        yield codecs.charmap_decode(raw, "strict", self.decoders[true])[0] if raw else text.translate(self.pairs[read, true]), True
+                        yield codecs.charmap_decode(raw, "strict", self.decoders[true])[0] if raw else text.translate(self.pairs[read, true])
 
 
 def _classes() -> np.ndarray:
@@ -245,26 +259,31 @@ def _search(text: str, coders: _Codecs, model: _Model) -> tuple[str, bool]:
     """The cheapest reachable text, and whether it is so much cheaper that the given one is garbled."""
     (start,), (excess,) = model.of([text])
     best, best_cost = text, float(start)
-    heap, seen = [(best_cost, 0, text, False, float(excess))], {text}
+    # of one state, the steps by UTF-8 come before the swaps, of which one is allowed on a path
+    heap, seen = [(best_cost, 0, 0, text, False, float(excess))], {text}
     while heap:
-        cost, depth, state, swapped, excess = heapq.heappop(heap)
+        cost, swap, depth, state, swapped, excess = heapq.heappop(heap)
         if depth >= DEPTH or cost > best_cost:
             break
-        new = {s: one for s, one in coders.steps(state, not swapped and _odd(state, excess)) if s not in seen}
+        if not swap and not swapped and _odd(state, excess):
+            heapq.heappush(heap, (cost, 1, depth, state, swapped, excess))
+        if not swap and not coders.gate.search(state) and not _WIDE.search(state) and "&" not in state:
+            continue
+        new = [s for s in coders.steps(state, bool(swap)) if s not in seen]
         if depth and "&" in state:
-            new.setdefault(html.unescape(state), swapped)
-        new.pop(state, None)
+            new.append(html.unescape(state))
+        new = list(dict.fromkeys(s for s in new if s not in seen))
         if not new:
             continue
         seen.update(new)
-        bits, excesses = model.of(list(new))
-        for (s, one), c, x in zip(new.items(), bits.tolist(), excesses.tolist(), strict=True):
-            one |= swapped
-            need, share = (SINGLE_BITS, SINGLE_SHARE) if one else (UTF8_BITS, UTF8_SHARE)
+        swapped = swapped or bool(swap)
+        need, share = (SINGLE_BITS, SINGLE_SHARE) if swapped else (UTF8_BITS, UTF8_SHARE)
+        bits, excesses = model.of(new)
+        for s, c, x in zip(new, bits.tolist(), excesses.tolist(), strict=True):
             if c < best_cost and start - c >= max(need, share * start):
                 best, best_cost = s, c
             if c < cost:
-                heapq.heappush(heap, (c, depth + 1, s, one, x))
+                heapq.heappush(heap, (c, 0, depth + 1, s, swapped, x))
     return best, best_cost < start
 
 
@@ -277,13 +296,16 @@ def _repair(pairs: np.ndarray, counts: np.ndarray):
             lines = list(f["line"])
             bare = [_QUOTED.sub(" ", x) for x in lines]
             _, excess = model.of(bare)
+            look = coders.worth_a_look(bare)
             rows = []
             for i, (x, b) in enumerate(zip(lines, bare, strict=True)):
+                lost = "�" in b or ("?" in b and len(_LOST.findall(b)) >= 2) or bool(_CONTROL.search(b))
+                worth = look[i] or _odd(b, excess[i])
+                if not lost and not worth:
+                    continue
                 # what is quoted beyond ASCII is an example: it is taken out of the search and stays
                 quotes = [q for q in _QUOTED.findall(x) if not q.isascii()]
                 held = _QUOTED.sub(lambda m: m.group() if m.group().isascii() else "\x01", x) if quotes else x
-                lost = "�" in b or len(_LOST.findall(b)) >= 2 or bool(re.search("[\x80-\x84\x86-\x9f]", b))
-                worth = coders.gate.search(b) or _WIDE.search(b) or _odd(b, excess[i])
                 fixed, better = _search(held, coders, model) if worth else (held, False)
                 fixed = re.sub("\x01", lambda _, q=iter(quotes): next(q), fixed)
                 if better or lost:
