@@ -43,6 +43,10 @@ def entity_of_kind(kind: Column) -> Column:
     return F.element_at(F.create_map(*pairs), kind)
 
 
+def entity_with_kind(scoped: Column, kind: Column, by_descriptor: Column) -> Column:
+    return F.when(scoped, "Skip").otherwise(F.coalesce(entity_of_kind(kind), by_descriptor))
+
+
 def _field(symbol: Column, i: int) -> Column:
     raw = F.replace(F.regexp_extract(symbol, _FIELDS, i), F.lit("  "), F.lit(" "))
     return F.when(raw == ".", "").otherwise(raw)
@@ -65,10 +69,10 @@ def _id(manager: Column, package: Column, text: Column) -> Column:
 
 
 def with_symbol(df, column: str = "symbol", kind: Column | None = None, display: Column | None = None):
-    """Adds entity, symbol_id, parent_id, package, name, qualified, descriptor_entity for a column of symbols.
+    """Adds entity, scoped, symbol_id, parent_id, package, name, qualified for a column of symbols.
 
     entity is a node type, Module or Skip; ``kind`` of the index goes before what the descriptors
-    imply, except inside a parameter or an indexer's own scope, which is always Skip. Local, empty,
+    imply, except inside a parameter or an indexer's own scope, which is always Skip (``scoped``). Local, empty,
     null and malformed symbols are Skip with null for the rest.
     """
     s = F.col(column)
@@ -90,7 +94,8 @@ def with_symbol(df, column: str = "symbol", kind: Column | None = None, display:
     inner = lambda x: (x["suffix"] == "parameter") | ((x["suffix"] == "meta") & (x["name"] != "__init__")) | ((x["suffix"] == "type parameter") & ~has)
     inside = F.exists(F.slice(d, 1, F.greatest(n - 1, F.lit(0))), inner)
     by_descriptor = F.when(~F.col("_ok") | inside, "Skip").otherwise(by_descriptor)
-    entity = by_descriptor if kind is None else F.when(~F.col("_ok") | inside, "Skip").otherwise(F.coalesce(entity_of_kind(kind), by_descriptor))
+    scoped = ~F.col("_ok") | inside
+    entity = by_descriptor if kind is None else entity_with_kind(scoped, kind, by_descriptor)
     join = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), "")
     owner = F.get(d, impl.cast("int"))["text"]
     parent = F.when(has, F.concat(join(F.slice(d, F.lit(1), F.greatest(impl.cast("int") - 1, F.lit(0)))), F.substring(owner, F.lit(2), F.char_length(owner) - 2), F.lit("#"))).when(n >= 2, join(F.slice(d, F.lit(1), F.greatest(n - 1, F.lit(0)))))
@@ -100,7 +105,7 @@ def with_symbol(df, column: str = "symbol", kind: Column | None = None, display:
     name = last["name"] if display is None else F.when(F.coalesce(display, F.lit("")) != "", display).otherwise(last["name"])
     good = lambda c: F.when(F.col("_ok"), c)
     out = df.withColumns({
-        "entity": entity, "descriptor_entity": by_descriptor, "symbol_id": good(_id(F.col("_m"), F.col("_p"), F.col("_t"))), "parent_id": good(_id(F.col("_m"), F.col("_p"), parent)),
+        "entity": entity, "scoped": scoped, "symbol_id": good(_id(F.col("_m"), F.col("_p"), F.col("_t"))), "parent_id": good(_id(F.col("_m"), F.col("_p"), parent)),
         "package": good(F.concat_ws("/", "_m", "_p")), "name": good(name), "qualified": good(F.array_join(F.array_compact(named), ".")),
     })
     return out.drop("_m", "_p", "_t", "_d", "_ok", "_impl")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.functions.symbols import with_symbol
+from linkloom.functions.symbols import entity_with_kind, with_symbol
 from linkloom.functions.text import clip, dir_of, file_name_of, first_fenced_block, squash
 from linkloom.operators import graph
 from linkloom.session import cut
@@ -58,23 +58,31 @@ def _doc(d: Column) -> Column:
     return clip(F.nullif(F.array_join(plain, "\n"), F.lit("")), 500)
 
 
-def definitions(used: DataFrame, occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
+def parsed_symbols(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Every distinct symbol parsed once. It is cut, as filters on its columns would else parse it again."""
+    related = symbols.select(F.explode("relationships").alias("r")).select("r.symbol")
+    return cut(with_symbol(occurrences.select("symbol").unionByName(related).filter("symbol is not null").distinct()))
+
+
+def definitions(used: DataFrame, occurrences: DataFrame, symbols: DataFrame, parsed: DataFrame) -> DataFrame:
     """Definitions that become nodes, numbered per id; the last information of a symbol counts."""
     latest = symbols.groupBy(*_DOC, "symbol").agg(F.max(F.struct("sym_ord", "kind", "display_name", "documentation", "signature_text", "relationships")).alias("info"))
     own = occurrences.filter(F.col("symbol_roles").bitwiseAND(1) != 0).join(used, _DOC).join(latest, [*_DOC, "symbol"], "left")
-    parsed = with_symbol(own.withColumns({"own": span(F.col("range")), "whole": span(F.col("enclosing_range"))}), "symbol", F.col("info.kind"), F.col("info.display_name")).filter("own is not null and entity != 'Skip'")
+    shown = F.coalesce(F.nullif(F.col("info.display_name"), F.lit("")), F.col("name"))
+    known = own.join(parsed, "symbol").withColumns({"own": span(F.col("range")), "whole": span(F.col("enclosing_range")), "entity": entity_with_kind(F.col("scoped"), F.col("info.kind"), F.col("entity")), "name": shown})
+    known = known.filter("own is not null and entity != 'Skip'")
     at_top = (F.col("own.start.line") == 0) & (F.col("own.start.col") == 0)
-    kept = parsed.filter((F.col("entity") != "Module") | ~at_top).withColumn("type", F.when(F.col("entity") == "Module", "NAMESPACE").otherwise(F.col("entity")))
+    kept = known.filter((F.col("entity") != "Module") | ~at_top).withColumn("type", F.when(F.col("entity") == "Module", "NAMESPACE").otherwise(F.col("entity")))
     numbered = graph.numbered_definitions(kept, "symbol_id", [F.col("path"), F.col("input_ord"), F.col("doc_ord"), F.col("occ_ord")])
     s = F.coalesce("whole", "own")
     return numbered.withColumns({"start_line": (s["start"]["line"] + 1).cast("long"), "end_line": last_line(s), "signature": _signature(F.col("info.documentation"), F.col("info.signature_text")), "doc": _doc(F.col("info.documentation"))})
 
 
-def references(used: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """References whose symbol is an entity by its descriptors alone; each distinct symbol is parsed once."""
+def references(used: DataFrame, occurrences: DataFrame, parsed: DataFrame) -> DataFrame:
+    """References whose symbol is an entity by its descriptors alone."""
     refs = occurrences.filter((F.col("symbol_roles").bitwiseAND(1) == 0) & (F.col("symbol") != "")).join(used, _DOC).withColumn("own", span(F.col("range"))).filter("own is not null")
-    parsed = with_symbol(refs.select("symbol").distinct()).filter("entity not in ('Skip', 'Module')").select("symbol", F.col("symbol_id").alias("target"), "package")
-    return refs.join(parsed, "symbol").select("path", *_DOC, "occ_ord", F.col("own.start").alias("pos"), (F.col("own.start.line") + 1).cast("long").alias("line"), "target", "package")
+    targets = parsed.filter("entity not in ('Skip', 'Module')").select("symbol", F.col("symbol_id").alias("target"), "package")
+    return refs.join(targets, "symbol").select("path", *_DOC, "occ_ord", F.col("own.start").alias("pos"), (F.col("own.start.line") + 1).cast("long").alias("line"), "target", "package")
 
 
 def _innermost(refs: DataFrame, defs: DataFrame) -> DataFrame:
@@ -96,8 +104,9 @@ def build(documents: DataFrame, occurrences: DataFrame, symbols: DataFrame, file
     """All relations of one build. Null or empty inputs give empty relations, never an error."""
     states = cut(accepted_documents(documents, files))
     used = states.filter("state = 'used'").drop("state")
-    defs = cut(definitions(used, occurrences, symbols))
-    refs = _innermost(references(used, occurrences), defs)
+    parsed = parsed_symbols(occurrences, symbols)
+    defs = cut(definitions(used, occurrences, symbols, parsed))
+    refs = _innermost(references(used, occurrences, parsed), defs)
 
     # nodes: files, definitions, folders, external packages
     tool = used.select(F.col("path").alias("p"), F.col("tool").alias("indexed_by"))
@@ -129,7 +138,7 @@ def build(documents: DataFrame, occurrences: DataFrame, symbols: DataFrame, file
     held = F.coalesce("known", F.lit(False)) & (F.col("parent_id") != F.col("node_id"))
     owned = placed.select(F.when(held, F.col("parent_id")).otherwise(F.concat(F.lit("file:"), "path")).alias("source"), F.col("node_id").alias("target"), F.when(held, "CONTAINS").otherwise("DEFINES").alias("kind"))
     relations = defs.select(F.col("node_id").alias("source"), F.explode("info.relationships").alias("r")).filter("r.is_implementation").select("source", F.col("r.symbol").alias("symbol"))
-    implemented = with_symbol(relations).select("source", F.col("symbol_id").alias("target"), F.lit("IMPLEMENTS").alias("kind")).join(canonical.select("target"), "target", "left_semi")
+    implemented = relations.join(parsed, "symbol").select("source", F.col("symbol_id").alias("target"), F.lit("IMPLEMENTS").alias("kind")).join(canonical.select("target"), "target", "left_semi")
 
     # roll-ups between files and between folders
     at = defs.select(F.col("node_id").alias("id"), F.col("path").alias("file_path")).unionByName(manifest.select(F.concat(F.lit("file:"), "file_path").alias("id"), "file_path"))

@@ -1,6 +1,6 @@
 """The registry of queries and of the SQL that gives the same rows."""
 
-from linkloom.queries import dealt, graph
+from linkloom.queries import dealt, graph, rebuild
 
-QUERIES = {**dealt.QUERIES, **graph.QUERIES}
-ORACLE = {**dealt.ORACLE, **graph.ORACLE}
+QUERIES = {**dealt.QUERIES, **graph.QUERIES, **rebuild.QUERIES}
+ORACLE = {**dealt.ORACLE, **graph.ORACLE, **rebuild.ORACLE}

@@ -33,3 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: later reads survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out anew where an input has fewer partitions than there are cores, for work that costs
+    far more than a shuffle of its input; otherwise df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
