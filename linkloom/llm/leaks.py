@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.session import spread
+
 #: Words of a verbatim passage, share of a whole part, and words of the phrases looked up. A part of
 #: which a fifth is lost keeps four neighbouring words somewhere.
 RUN_WORDS, WHOLE_SHARE, SEED = 12, 0.8, 4
@@ -203,7 +205,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     read whole, whatever their length; empty tables give no rows. Items are looked up in blocks of
     ITEMS_PER_BLOCK, so that what goes to the tasks has a bound.
     """
-    slim = documents.filter(F.char_length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    slim = spread(documents.filter(F.char_length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = dict(slim.dtypes)["key"]
     parts = items.select(F.col("item_id").cast("long").alias("item_id"), F.explode(F.array("text", "answer")).alias("part")).filter("item_id is not null and part is not null")
     schema = f"key {kind}, item_id bigint, first_word bigint, end_word bigint"

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.session import spread
+
 #: Steps on one path of the search.
 DEPTH = 5
 #: Bits by which a text must become cheaper, and as a share of its cost: for UTF-8 read as something
@@ -325,7 +327,7 @@ def garbled_lines(documents: DataFrame, key: str = "doc_id", text: str = "text")
     are searched whole; an empty table gives no rows.
     """
     lines = documents.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    lines = lines.filter(F.col("line").rlike(r"[^\x00-\x7f]|[a-z]\?[a-z]"))
+    lines = spread(lines.filter(F.col("line").rlike(r"[^\x00-\x7f]|[a-z]\?[a-z]")))
     counted = lines.select("line").mapInPandas(_count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     model = counted.toPandas()  # fewer than 2.9 million pairs, see _classes
     kind = dict(lines.dtypes)["key"]
