@@ -33,6 +33,7 @@ _MARKUP = [
     ("[_'’‘ʼ`´*~\\\\\u00ad\u200b-\u200f\u2060\ufeff]+", ""),
     (r"([\p{L}\p{N}])[-‐‑](?:\r?\n[ \t>#/*|]*)?([\p{L}\p{N}])", r"\1\2"),
 ]
+_NUMBERED = r"(?m)^[ \t]*\d+ ?[:|][ \t]+"
 
 
 def words_of(texts: pa.Array) -> pa.ListArray:
@@ -41,6 +42,10 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     wide = pc.match_substring_regex(texts, "[！-～ﬀ-ﬆ]")
     if pc.any(wide).as_py():
         texts = pc.if_else(wide, pc.utf8_normalize(texts, form="NFKC"), texts)
+    # lines of a listing, if at least two are numbered
+    listing = pc.greater_equal(pc.count_substring_regex(texts, _NUMBERED), 2)
+    if pc.any(listing).as_py():
+        texts = pc.if_else(listing, pc.replace_substring_regex(texts, _NUMBERED, ""), texts)
     for pattern, instead in _MARKUP:
         texts = pc.replace_substring_regex(texts, pattern, instead)
     lists = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+")

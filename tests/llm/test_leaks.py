@@ -30,6 +30,14 @@ def test_forms_of_a_leak(spark):
     assert pairs(spark, docs) == {(i, 1) for i in (0, 1, 2, 3, 4, 5, 6, 8, 9, 15, 16, 17, 18)}
 
 
+def test_numbers_of_a_listing_are_layout(spark):
+    words = ASK.split()[6:24]
+    listed = "\n".join(f"{80 + i}: " + " ".join(words[6 * i : 6 * i + 6]) for i in range(3))
+    once = " ".join(words[:6]) + "\n731: " + " ".join(words[6:])
+    assert pairs(spark, [listed, once]) == {(0, 1), (1, 1)}
+    assert L.words_of(pa.array(["731: a b\nc", "1: a\n 2: b", "7 | a\n8 | b"])).to_pylist() == [["731", "a", "b", "c"], ["a", "b"], ["a", "b"]]
+
+
 def test_empty_tables_and_null_items(spark):
     assert pairs(spark, []) == set()
     assert pairs(spark, [ASK, SAY], [(1, "s", None, None), (2, "s", "", "!"), (None, "s", ASK, SAY)]) == set()
