@@ -22,8 +22,8 @@ UNSEEN_BITS, TEMPLATE_SHARE = 12.0, 0.6
 # Public conventions of build tools and package managers.
 STORES = ["node_modules", "bower_components", "site-packages", "dist-packages", ".venv", "venv", "jspm_packages"]
 VENDOR_DIRS = ["vendor", "vendored", "third-party", "third_party", "thirdparty", "3rdparty", "external", "extern", "externals", "contrib", "deps", "upstream"]
-BUILD_DIRS = r"(gen|generated|dist|out|_build|\.next|build/lib)/"  # right under a package
-BUILD_DIRS_ANYWHERE = r"(^|/)__generated__/|(^|/)target/(debug|release)/"
+BUILD_DIRS = r"(gen|generated|dist|out|_build|_site|\.next|\.nuxt|\.output|storybook-static|bazel-out|build/lib)/"  # right under a package
+BUILD_DIRS_ANYWHERE = r"(^|/)(__generated__|lcov-report|htmlcov|__pycache__|target/(debug|release)|docs/_build|generated-sources|cmake-build-[a-z]+)/"
 GENERATOR_MARKS = ["g", "generated", "designer", "autogen", "bindings", "pb", "pb2", "grpc", "tab", "zz", "gen"]
 SECOND_EXTENSION = r"\.(g|generated|gen|designer|autogen|bindings|pb|tab)\.[a-z]+$"
 AFFIX = r"_pb2(_grpc)?\.pyi?$|[._-](auto)?generated\.[a-z]+$|^zz_generated[._-]"

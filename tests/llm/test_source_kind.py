@@ -29,6 +29,8 @@ def test_kinds_and_their_lookalikes(spark):
         (f"{p}/proto/column_pb2.py", "python", 900, 30),
         (f"{p}/src/column.g.rs", "rust", 900, 30),
         (f"{p}/dist/column.js", "javascript", 900, 30),
+        (f"{p}/coverage/lcov-report/column.js", "javascript", 900, 30),
+        (f"{p}/src/coverage/column.js", "javascript", 900, 30),
         (f"{p}/stats/dist/column.py", "python", 900, 30),
         (f"{p}/src/generators/column.ts", "typescript", 900, 30),
         (f"{p}/src/column_words.py", "python", 4_000_000, 90_000),
@@ -39,7 +41,7 @@ def test_kinds_and_their_lookalikes(spark):
     assert short == {
         "node_modules/x/lib/column.js": "vendored", "vendor/zyqquiblex/column.ts": "vendored", "Vendor/bravhoum-1.4/column.ts": "vendored",
         "public/column.min.js": "minified", "site/column.js": "minified", "proto/column_pb2.py": "generated", "src/column.g.rs": "generated",
-        "dist/column.js": "generated", "src/column_words.py": "data",
+        "dist/column.js": "generated", "coverage/lcov-report/column.js": "generated", "src/column_words.py": "data",
     }
 
 
