@@ -4,21 +4,21 @@ from pyspark.sql import functions as F
 from linkloom.functions.symbols import with_symbol
 from linkloom.plans.build import build
 
-TS = "scip-typescript npm fixture-ts 1.0.0 "
-RS = "rust-analyzer cargo own-crate 0.1.0 "
-PY = "scip-python python fixture-py 0.1.0 "
+PY = "scip-python python shop-kit 2.1 "
+RS = "rust-analyzer cargo ledger 0.3.0 "
+TS = "scip-typescript npm web-kit 4.0.1 "
 
 
 @pytest.mark.parametrize(("symbol", "entity", "more"), [
-    (TS + "src/`shapes.ts`/Chart#render().", "METHOD", ("npm:fixture-ts:src/`shapes.ts`/Chart#render().", "npm:fixture-ts:src/`shapes.ts`/Chart#", "render", "Chart.render")),
-    (TS + "src/`shapes.ts`/exportedFn().", "FUNCTION", None), (TS + "src/`shapes.ts`/arrowFn.", "VARIABLE", None), (TS + "src/`shapes.ts`/Chart#title.", "FIELD", None), (TS + "src/`shapes.ts`/Chart#", "TYPE", None),
-    (TS + "src/`shapes.ts`/exportedFn().(a)", "Skip", None), ("local 12", "Skip", None), ("", "Skip", None), ("not a symbol", "Skip", None), (None, "Skip", None),
-    (TS + "src/`shapes.ts`/", "Module", None), (PY + "`pkg.shapes`/__init__:", "Module", None), (RS + "config/", "Module", None),
-    (TS + "src/`view.tsx`/Greeting().(props)typeLiteral0:name.", "Skip", None), (TS + "src/`view.tsx`/Props#name.", "FIELD", None), (TS + "src/`util.js`/plainFn0:", "Skip", None),
-    (RS + "impl#[GuiApp]run_command().", "METHOD", ("cargo:own-crate:impl#[GuiApp]run_command().", "cargo:own-crate:GuiApp#", "run_command", "GuiApp.run_command")),
-    (RS + "impl#[GuiApp][App]update().", "METHOD", ("cargo:own-crate:impl#[GuiApp][App]update().", "cargo:own-crate:GuiApp#", "update", "GuiApp.update")),
-    (RS + "parser/impl#[Graph]len().", "METHOD", ("cargo:own-crate:parser/impl#[Graph]len().", "cargo:own-crate:parser/Graph#", "len", "Graph.len")),
-    (RS + "m/say!", "MACRO", None), (RS + "main(+1).", "FUNCTION", ("cargo:own-crate:main(+1).", None, "main", "main")), ("scip-x . . . `a b``c`#", "TYPE", ("scip:_:`a b``c`#", None, "a b`c", "a b`c")),
+    (PY + "`shop.store`/Store#put().", "METHOD", ("python:shop-kit:`shop.store`/Store#put().", "python:shop-kit:`shop.store`/Store#", "put", "Store.put")),
+    (PY + "`shop.store`/open_store().", "FUNCTION", None), (TS + "lib/`cart.ts`/total.", "VARIABLE", None), (TS + "lib/`cart.ts`/Cart#rows.", "FIELD", None), (TS + "lib/`cart.ts`/Cart#", "TYPE", None),
+    (PY + "`shop.store`/open_store().(path)", "Skip", None), ("local 3", "Skip", None), ("", "Skip", None), ("two words", "Skip", None), (None, "Skip", None), (RS + "a/b", "Skip", None),
+    (TS + "lib/`cart.ts`/", "Module", None), (PY + "`shop.store`/__init__:", "Module", None), (RS + "book/", "Module", None), (RS + "say!", "MACRO", None),
+    (TS + "lib/`cart.ts`/show().(opts)shape1:wide.", "Skip", None), (TS + "lib/`cart.ts`/total7:", "Skip", None),
+    (RS + "impl#[Book]turn().", "METHOD", ("cargo:ledger:impl#[Book]turn().", "cargo:ledger:Book#", "turn", "Book.turn")),
+    (RS + "io/impl#[Book][Read]fill().", "METHOD", ("cargo:ledger:io/impl#[Book][Read]fill().", "cargo:ledger:io/Book#", "fill", "Book.fill")),
+    (RS + "go(+2).", "FUNCTION", ("cargo:ledger:go(+2).", None, "go", "go")), ("other . . . `a b``c`#", "TYPE", ("scip:_:`a b``c`#", None, "a b`c", "a b`c")),
+    ("x y  z p . T#", "TYPE", ("y z:p:T#", None, "T", "T")),
 ])
 def test_symbols(spark, symbol, entity, more):
     row = with_symbol(spark.createDataFrame([(symbol,)], "symbol string")).first()
@@ -47,41 +47,42 @@ def inputs(spark, docs, listed=None, relationships=()):
     )
 
 
-def golden(app="src/app.ts"):
-    m = lambda f, rest: f"{TS}src/`{f}`/{rest}"
-    shapes = ("src/shapes.ts", [
-        ([0, 0, 0], m("shapes.ts", ""), [0, 0, 14, 0]), ([0, 17, 27], m("shapes.ts", "Renderable#"), [0, 0, 49]), ([1, 13, 18], m("shapes.ts", "Chart#"), [1, 0, 4, 1]), ([3, 2, 8], m("shapes.ts", "Chart#render()."), [3, 2, 38]),
-        ([5, 13, 18], m("shapes.ts", "Table#"), [5, 0, 7, 1]), ([6, 2, 8], m("shapes.ts", "Table#render()."), [6, 2, 38]), ([8, 16, 26], m("shapes.ts", "exportedFn()."), [8, 0, 63]),
-        ([8, 27, 28], m("shapes.ts", "exportedFn().(a)"), [0]), ([8, 55, 56], m("shapes.ts", "exportedFn().(a)"), None), ([8, 40, 41], "local 1", [0]),
+def shop(main="cli/main.py"):
+    """A class with two methods, a function that opens it, and a program that uses them."""
+    st, mn = (lambda x: PY + "`shop.store`/" + x), (lambda x: PY + "`cli.main`/" + x)
+    store = ("lib/store.py", [
+        ([0, 0, 0], st("__init__:"), [0, 0, 16, 0]), ([1, 6, 10], st("Base#"), [1, 0, 3, 0]), ([4, 6, 11], st("Store#"), [4, 0, 11, 0]), ([5, 8, 11], st("Store#put()."), [5, 4, 7, 0]), ([8, 8, 11], st("Store#get()."), [8, 4, 10, 20]),
+        ([8, 12, 15], st("Store#get().(key)"), [0]), ([12, 4, 14], st("open_store()."), [12, 0, 15, 12]), ([13, 11, 16], st("Store#"), None), ([9, 15, 18], st("Store#get().(key)"), None), ([9, 20, 22], "local 4", [0]),
     ])
-    app_doc = (app, [
-        ([0, 0, 0], m("app.ts", ""), [0, 0, 7, 0]), ([1, 16, 20], m("app.ts", "draw()."), [1, 0, 5, 1]), ([6, 16, 21], m("app.ts", "other()."), [6, 0, 57]), ([0, 9, 14], m("shapes.ts", "Chart#"), None),
-        ([0, 23, 33], m("shapes.ts", "exportedFn()."), None), ([0, 50, 60], m("shapes.ts", ""), None), ([2, 16, 21], m("shapes.ts", "Chart#"), None), ([3, 10, 15], "scip-typescript npm lodash 4.17.0 index/chunk().", None),
-        ([3, 30, 31], m("gone.ts", "missing()."), None), ([4, 11, 17], m("shapes.ts", "Chart#render()."), None), ([4, 24, 30], m("shapes.ts", "Table#render()."), None), ([4, 35, 45], m("shapes.ts", "exportedFn()."), None),
-        ([6, 41, 51], m("shapes.ts", "exportedFn()."), None),
+    program = (main, [
+        ([0, 0, 0], mn("__init__:"), [0, 0, 12, 0]), ([2, 4, 7], mn("run()."), [2, 0, 8, 9]), ([9, 4, 8], mn("idle()."), [9, 0, 11, 0]), ([0, 18, 23], st("Store#"), None), ([0, 25, 35], st("open_store()."), None), ([0, 5, 15], st("__init__:"), None),
+        ([3, 8, 18], st("open_store()."), None), ([4, 4, 7], st("Store#put()."), None), ([4, 30, 33], st("Store#put()."), None), ([5, 4, 9], st("Store#"), None), ([6, 4, 7], "scip-python python requests 2.3 api/get().", None),
+        ([7, 4, 8], st("gone()."), None), ([8, 4, 7], mn("run()."), None), ([10, 4, 14], st("open_store()."), None), ([10, 20, 23], st("Store#get()."), None), ([11, 0], st("Store#get()."), None),
     ])
-    return [shapes, app_doc], [(0, m("shapes.ts", "Chart#"), m("shapes.ts", "Renderable#"))]
+    return [store, program], [(0, st("Store#"), st("Base#"))]
 
 
 def test_two_files_to_a_graph(spark):
-    docs, rel = golden("cli/app.ts")
-    out = inputs(spark, docs, ["src/shapes.ts", "cli/app.ts", "src/unseen.ts"], rel)
-    S, A = "npm:fixture-ts:src/`shapes.ts`/", "npm:fixture-ts:src/`app.ts`/"
+    docs, rel = shop()
+    out = inputs(spark, docs, ["lib/store.py", "cli/main.py", "lib/unseen.py"], rel)
+    S, M = "python:shop-kit:`shop.store`/", "python:shop-kit:`cli.main`/"
     edges = {(r.source, r.target, r.kind): r for r in out.edges.collect()}
     nodes = {r.id: r for r in out.nodes.collect()}
     stats = {r.name: r.value for r in out.stats.collect()}
-    assert stats == {"documents": 2, "ignored_documents": 0, "duplicate_documents": 0, "definitions": 8, "duplicate_definitions": 0, "resolved": 7, "external": 1, "unresolved": 1}
-    assert (nodes[S + "Chart#render()."].start_line, nodes[S + "Chart#render()."].end_line, nodes[S + "Chart#"].start_line, nodes[S + "Chart#"].end_line) == (4, 4, 2, 5)
-    for key in [(A + "draw().", S + "Chart#render().", "CALLS"), (A + "draw().", S + "Table#render().", "CALLS"), (A + "draw().", S + "exportedFn().", "CALLS"), (A + "other().", S + "exportedFn().", "CALLS"), (A + "draw().", S + "Chart#", "REFERENCES"),
-                ("file:cli/app.ts", S + "Chart#", "REFERENCES"), (S + "Chart#", S + "Chart#render().", "CONTAINS"), ("file:src/shapes.ts", S + "Chart#", "DEFINES"), ("module:cli", "file:cli/app.ts", "CONTAINS"),
-                (S + "Chart#", S + "Renderable#", "IMPLEMENTS"), (A + "draw().", "external:npm:lodash", "USES")]:
-        assert key in edges
-    assert (A + "other().", S + "Chart#render().", "CALLS") not in edges and ("file:src/shapes.ts", S + "Chart#render().", "DEFINES") not in edges
-    assert edges["file:cli/app.ts", S + "exportedFn().", "REFERENCES"].lines == [1]
-    assert edges["file:cli/app.ts", "file:src/shapes.ts", "DEPENDS_ON"].n == edges["module:cli", "module:src", "DEPENDS_ON"].n == 7
-    assert (nodes[S + "exportedFn()."].fan_in, nodes[S + "Table#render()."].fan_in, nodes[A + "draw()."].fan_out) == (3, 1, 5)
-    assert nodes["external:npm:lodash"].type == "EXTERNAL" and nodes["module:cli"].type == "MODULE" and "NAMESPACE" not in {n.type for n in nodes.values()}
-    assert {r.file_path: r.indexed_by for r in out.manifest.collect()} == {"src/shapes.ts": "test-indexer 1.0", "cli/app.ts": "test-indexer 1.0", "src/unseen.ts": None}
+    assert stats == {"documents": 2, "ignored_documents": 0, "duplicate_documents": 0, "definitions": 7, "duplicate_definitions": 0, "resolved": 10, "external": 1, "unresolved": 1}
+    lines = {i: (nodes[S + i].type, nodes[S + i].start_line, nodes[S + i].end_line) for i in ("Store#", "Store#put().", "Store#get().", "open_store().")}
+    assert lines == {"Store#": ("TYPE", 5, 11), "Store#put().": ("METHOD", 6, 7), "Store#get().": ("METHOD", 9, 11), "open_store().": ("FUNCTION", 13, 16)}
+    by_kind = lambda kind: {(a, b): (r.n, r.lines) for (a, b, k), r in edges.items() if k == kind}
+    assert by_kind("CALLS") == {(M + "run().", S + "open_store()."): (1, [4]), (M + "run().", S + "Store#put()."): (2, [5]), (M + "run().", M + "run()."): (1, [9]), (M + "idle().", S + "open_store()."): (1, [11]), (M + "idle().", S + "Store#get()."): (1, [11])}
+    assert by_kind("REFERENCES") == {(S + "open_store().", S + "Store#"): (1, [14]), ("file:cli/main.py", S + "Store#"): (1, [1]), ("file:cli/main.py", S + "open_store()."): (1, [1]), (M + "run().", S + "Store#"): (1, [6])}
+    assert by_kind("USES") == {(M + "run().", "external:python:requests"): (1, [7])}
+    assert set(by_kind("IMPLEMENTS")) == {(S + "Store#", S + "Base#")}
+    assert set(by_kind("CONTAINS")) == {("module:lib", "file:lib/store.py"), ("module:lib", "file:lib/unseen.py"), ("module:cli", "file:cli/main.py"), (S + "Store#", S + "Store#put()."), (S + "Store#", S + "Store#get().")}
+    assert set(by_kind("DEFINES")) == {("file:lib/store.py", S + "Base#"), ("file:lib/store.py", S + "Store#"), ("file:lib/store.py", S + "open_store()."), ("file:cli/main.py", M + "run()."), ("file:cli/main.py", M + "idle().")}
+    assert by_kind("DEPENDS_ON") == {("file:cli/main.py", "file:lib/store.py"): (8, None), ("module:cli", "module:lib"): (8, None)}
+    assert (nodes[S + "open_store()."].fan_in, nodes[S + "Store#"].fan_in, nodes[M + "run()."].fan_in, nodes[M + "run()."].fan_out) == (3, 3, 0, 4)
+    assert nodes["external:python:requests"].type == "EXTERNAL" and nodes["module:cli"].type == "MODULE" and "NAMESPACE" not in {n.type for n in nodes.values()}
+    assert {r.file_path: r.indexed_by for r in out.manifest.collect()} == {"lib/store.py": "test-indexer 1.0", "cli/main.py": "test-indexer 1.0", "lib/unseen.py": None}
     assert len(nodes) == out.nodes.count()
 
 
@@ -90,10 +91,10 @@ def test_duplicates_ignored_and_repeated_documents(spark):
     docs = [("b.rs", [([4, 3, 7], main, [4, 0, 6, 1]), ([5, 4, 7], run, None)]), ("c.rs", [([0, 3, 4], run, [0, 0, 3, 1]), ([1, 4, 8], main, None)]), ("a.rs", [([0, 3, 7], main, [0, 0, 2, 1])]), ("a.rs", [([0, 3, 7], RS + "late().", [0, 0, 2, 1])]), ("gone.rs", [([0, 3, 7], RS + "gone().", [0, 0, 2, 1])])]
     out = inputs(spark, docs, ["a.rs", "b.rs", "c.rs"])
     nodes = {r.id: r for r in out.nodes.filter("type = 'FUNCTION'").collect()}
-    assert {k: n.file_path for k, n in nodes.items()} == {"cargo:own-crate:main().": "a.rs", "cargo:own-crate:main().~2": "b.rs", "cargo:own-crate:run().": "c.rs"}
-    assert nodes["cargo:own-crate:main().~2"].duplicate_of == "cargo:own-crate:main()."
+    assert {k: n.file_path for k, n in nodes.items()} == {"cargo:ledger:main().": "a.rs", "cargo:ledger:main().~2": "b.rs", "cargo:ledger:run().": "c.rs"}
+    assert nodes["cargo:ledger:main().~2"].duplicate_of == "cargo:ledger:main()."
     calls = {(r.source, r.target) for r in out.edges.filter("kind = 'CALLS'").collect()}
-    assert calls == {("cargo:own-crate:run().", "cargo:own-crate:main()."), ("cargo:own-crate:main().~2", "cargo:own-crate:run().")}
+    assert calls == {("cargo:ledger:run().", "cargo:ledger:main()."), ("cargo:ledger:main().~2", "cargo:ledger:run().")}
     stats = {r.name: r.value for r in out.stats.collect()}
     assert (stats["ignored_documents"], stats["duplicate_documents"], stats["duplicate_definitions"]) == (1, 1, 1)
 
