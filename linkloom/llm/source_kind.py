@@ -89,9 +89,10 @@ def classify(manifest: DataFrame, package: str = r"packages/[^/]+/") -> DataFram
 
     own = files.select("language", F.posexplode(_pieces(F.col("stem"))).alias("at", "piece"), F.size(_pieces(F.col("stem"))).alias("of"), "name")
     model = identifier_model(own)
-    # usual names, each counted as often as it is used
-    usual = cross_entropy(own.select("language", "piece").distinct(), model)
-    typical = usual.groupBy("language").agg(F.percentile_approx("bits", 0.5).alias("usual"))
+    # what is usual: the mean over all names, each counted as often as it is used
+    uses = own.groupBy("language", "piece").agg(F.count("*").alias("uses"))
+    scored = cross_entropy(uses.select("language", "piece"), model).join(uses, ["language", "piece"])
+    typical = scored.groupBy("language").agg((F.sum(F.col("bits") * F.col("uses")) / F.sum("uses")).alias("usual"))
 
     # the folder right after a vendor folder, if it is one
     at = F.array_max(F.transform(F.array(*map(F.lit, VENDOR_DIRS)), lambda d: F.array_position(F.slice("segs", 1, F.size("segs") - 2), d)))
