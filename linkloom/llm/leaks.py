@@ -1,11 +1,13 @@
 """Documents that hold passages of held-out evaluation items.
 
 Every shard of the corpus becomes an FM-index over word codes; the short phrases of all items are
-found by backward search, located by sampled suffix positions, and joined to passages.
+found by backward search, located by sampled suffix positions, and joined to passages. Parts with
+words lost or put in are counted wherever enough of their words stand near each other.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +18,14 @@ from pyspark.sql import functions as F
 
 from linkloom.session import spread
 
-#: Words of a verbatim passage, share of a whole part, and words of the phrases looked up. A part of
-#: which a fifth is lost keeps four neighbouring words somewhere.
+#: Words of a verbatim passage, share of a whole part, and words of the phrases looked up.
 RUN_WORDS, WHOLE_SHARE, SEED = 12, 0.8, 4
 #: A stretch of a document may be longer than the part by this factor.
 STRETCH = 1.5
 #: Words of documents in one index; items that are looked up together.
 SHARD_WORDS, ITEMS_PER_BLOCK = 2_000_000, 20_000
+#: Parts of like length whose words are counted together, and rows of words summed at once.
+_GROUP, _ROWS = 512, 100_000
 
 # In order: what is looked for and what it becomes.
 _MARKUP = [
@@ -76,6 +79,58 @@ class _Phrases:
             of = np.repeat(np.arange(len(own)), [len(found[x]) for x in own])
             where = np.array([w for x in own for w in found[x]], np.int64)
             self.by_length[n] = (np.array(own, np.int64), of, where[:, 0], where[:, 1])
+        self.need = np.array([-(-len(x) * 4 // 5) for x in self.parts], np.int64)
+        self.groups: list[_Group] = []
+        order = sorted(range(len(parts)), key=lambda k: len(self.parts[k]))
+        while order:
+            many = min(_GROUP, sum(len(self.parts[k]) <= 2 * len(self.parts[order[0]]) for k in order))
+            self.groups.append(_Group(self, order[:many]))
+            order = order[many:]
+
+
+class _Group:
+    """Parts of which none is more than twice as long as another, and how often each has each word."""
+
+    def __init__(self, p: _Phrases, ids: list[int]):
+        self.ids, self.need = np.array(ids, np.int64), p.need[ids]
+        longest = len(p.parts[ids[-1]])
+        self.wide = int(longest * STRETCH) + 2
+        own = np.unique(np.concatenate([p.parts[k] for k in ids]))
+        self.slot = np.full(len(p.words) + 1, -1, np.int64)
+        self.slot[own] = np.arange(len(own))
+        self.counts = np.zeros((len(own), len(ids)), np.min_scalar_type(-longest - 1))
+        for j, k in enumerate(ids):
+            np.add.at(self.counts[:, j], self.slot[p.parts[k]], 1)
+
+
+def _near(g: _Group, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(document number, part, first place) of blocks that hold four fifths of the words of a part.
+
+    Blocks begin every ``wide`` words and are twice as long, so each stretch lies whole in the block
+    in which it begins; none can be missed, whatever words stand between.
+    """
+    at = np.flatnonzero(g.slot[codes] >= 0)
+    doc = np.searchsorted(starts, at, "right") - 1
+    lengths = np.diff(np.append(starts, len(codes)))
+    blocks = -(-lengths // g.wide)
+    base = np.cumsum(blocks) - blocks
+    nth = (at - starts[doc]) // g.wide
+    block, slot, later = base[doc] + nth, g.slot[codes[at]], nth > 0
+    block, slot = np.concatenate([block, block[later] - 1]), np.concatenate([slot, slot[later]])
+    full = np.bincount(block, minlength=1)[block] >= g.need.min()
+    key = np.unique(block[full] * len(g.counts) + slot[full])
+    block, slot = np.divmod(key, len(g.counts))
+    heads = np.flatnonzero(np.diff(block, prepend=-1))
+    tails = np.append(heads[1:], len(block))
+    i = 0
+    while i < len(heads):
+        j = max(i + 1, int(np.searchsorted(tails, heads[i] + _ROWS, "right")))
+        sums = np.add.reduceat(g.counts[slot[heads[i] : tails[j - 1]]], heads[i:j] - heads[i], axis=0, dtype=g.counts.dtype)
+        for r, c in np.argwhere(sums >= g.need):
+            b = int(block[heads[i + r]])
+            d = int(np.searchsorted(base, b, "right")) - 1
+            yield d, int(g.ids[c]), int(starts[d] + (b - base[d]) * g.wide)
+        i = j
 
 
 def _common(part: np.ndarray, stretch: np.ndarray) -> int:
@@ -91,8 +146,8 @@ def _common(part: np.ndarray, stretch: np.ndarray) -> int:
     return len(part) - v.bit_count()
 
 
-def _passages(p: _Phrases, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(document number, part, first word, end word) of the passages in one shard."""
+def _verbatim(p: _Phrases, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document number, part, first word, end word) of the runs of an item's words in one shard."""
     # words of no item, and ends of documents, separate; runs too short for a phrase go
     known = codes > 0
     edge = np.zeros(len(codes) + 1, bool)
@@ -138,33 +193,45 @@ def _passages(p: _Phrases, codes: np.ndarray, starts: np.ndarray) -> Iterator[tu
     head = np.flatnonzero(cut)
     tail = np.concatenate([head[1:], [len(o)]]) - 1
     begin, end = spot[o][head], spot[o][tail] + n[o][tail]
-    done = set()
     for i in np.flatnonzero(end - begin >= RUN_WORDS):
-        done.add((int(doc[o][head[i]]), int(part[o][head[i]])))
         yield int(doc[o][head[i]]), int(part[o][head[i]]), int(begin[i]), int(end[i])
 
-    # whole parts with some words changed: enough phrases of one part near each other, then counted
-    o = np.lexsort((spot, part, doc))
-    key = np.stack([doc[o], part[o]])
-    head = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
-    for a, b in zip(head, np.concatenate([head[1:], [len(o)]]), strict=True):
-        d, k = int(doc[o[a]]), int(part[o[a]])
-        words = p.parts[k]
-        size = len(words)
-        need = -(-size * 4 // 5)
-        if (d, k) in done or len(np.unique(offset[o[a:b]])) < max(1, round(size * 0.08)):
-            continue
-        stop = starts[d + 1] if d + 1 < len(starts) else len(codes)
-        reach, behind = int(size * STRETCH), -1
-        for i in o[a:b]:
-            start = max(int(starts[d]), int(spot[i] - offset[i] * STRETCH) - 1)
-            if spot[i] < behind:
+
+def _whole(p: _Phrases, codes: np.ndarray, starts: np.ndarray, done: set[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Whole parts with some words changed, the first stretch of each in a document; done ones are left out."""
+    for g in p.groups:
+        for d, k, first in _near(g, codes, starts):
+            if (d, k) in done:
+                continue
+            words, need = p.parts[k], int(p.need[k])
+            stop = int(starts[d + 1]) if d + 1 < len(starts) else len(codes)
+            places = first + np.flatnonzero(np.isin(codes[first : min(stop, first + 2 * g.wide)], words))
+            if len(places) < need or _common(words, codes[places]) < need:
                 continue
-            stretch = codes[start : min(int(stop), start + reach + 2)]
-            if _common(words, stretch) >= need:
-                yield d, k, start, start + len(stretch)
-                break
-            behind = spot[i] + max(1, size // 8)
+            reach = int(len(words) * STRETCH) + 2
+            ends = np.searchsorted(places, places + reach)
+            able = np.flatnonzero(ends - np.arange(len(places)) >= need)
+            for i in able[places[able] < first + g.wide]:
+                if _common(words, codes[places[i : ends[i]]]) >= need:
+                    done.add((d, k))
+                    # of the stretches that overlap it the one with most words, without what is beside them
+                    near = able[(able >= i) & (able < ends[i])]
+                    i = max(near, key=lambda x: _common(words, codes[places[x : ends[x]]]))
+                    own = places[i : ends[i]]
+                    most = _common(words, codes[own])
+                    own = own[: bisect_left(range(len(own)), most, key=lambda x: _common(words, codes[own[:x]]))]
+                    own = own[bisect_left(range(len(own)), True, key=lambda x: _common(words, codes[own[x + 1 :]]) < most) :]
+                    yield d, k, int(own[0]), int(own[-1]) + 1
+                    break
+
+
+def _passages(p: _Phrases, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document number, part, first word, end word) of the passages in one shard."""
+    done = set()
+    for found in _verbatim(p, codes, starts):
+        done.add(found[:2])
+        yield found
+    yield from _whole(p, codes, starts, done)
 
 
 def _find(p: _Phrases):

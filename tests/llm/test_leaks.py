@@ -104,3 +104,46 @@ def test_given_data_against_brute_force(spark, sf):
     want = {(d, i) for d, w in zip(docs.doc_id, L.words_of(pa.array(docs.text)).to_pylist(), strict=True) for k in range(len(w) - 11) for i in grams.get(tuple(w[k : k + 12]), ())}
     got = {(r.doc_id, r.item_id) for r in queries.p7_found(spark, sf).collect()}
     assert want <= got and len(got) <= len(want) + 5
+
+
+def test_every_pattern_of_lost_and_added_words(spark):
+    short = "alpha bravo carol delta eagle frost grape hotel india joker karma lemon mango north opera piano queen river sugar tiger".split()
+    long = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    fifth = " ".join(w for i, w in enumerate(short) if i not in (4, 8, 12, 16))  # runs of 4, 3, 3, 3 and 3 words
+    added = lambda ws: " ".join(x for i, w in enumerate(ws) for x in ([w, "zebra"] if i % 3 == 2 else [w]))
+    both = added([w for i, w in enumerate(long) if i % 5])
+    less = " ".join(w for i, w in enumerate(short) if i not in (3, 6, 9, 12, 16))
+    mixed = " ".join(short[::-1])
+    far = " ".join(w + " zebra" * 3 for w in short)
+    docs = [fifth, added(short), added(long), both, less, mixed, far, "intro " * 999 + both, "the " * 80 + fifth + " the" * 80, fifth.upper()]
+    items = [(1, "s", " ".join(short), None), (2, "s", None, " ".join(long))]
+    assert pairs(spark, docs, items) == {(0, 1), (1, 1), (2, 2), (3, 2), (7, 2), (8, 1), (9, 1)}
+
+
+def test_stretches_against_every_window(monkeypatch):
+    rng = random.Random(4)
+    for trial in range(60):
+        monkeypatch.setattr(L, "_ROWS", rng.choice([3, 50, 100_000]))
+        monkeypatch.setattr(L, "_GROUP", rng.choice([1, 2, 512]))
+        words = [f"w{i}" for i in range(rng.choice([4, 12, 40]))]
+        parts = [(i, [rng.choice(words) for _ in range(rng.choice([1, 4, 9, 20, 33]))]) for i in range(3)]
+        p = L._Phrases(parts)
+        docs = []
+        for _ in range(6):
+            base = [w for w in rng.choice(parts)[1] if rng.random() > 0.12]
+            docs.append([x for w in base for x in [w] + ["none"] * (rng.random() < 0.3)] + [rng.choice(words) for _ in range(rng.choice([0, 3, 60]))])
+            rng.random() < 0.4 and docs[-1].reverse()
+        docs = [d for d in docs if d]
+        code = {w: i + 1 for i, w in enumerate(p.words.to_pylist())}
+        codes = np.array([code.get(w, 0) for d in docs for w in d], np.int64)
+        starts = np.cumsum([0] + [len(d) for d in docs[:-1]])
+        want = set()
+        for d, s in enumerate(starts):
+            own = codes[s : s + len(docs[d])]
+            for k, part in enumerate(p.parts):
+                reach = int(len(part) * L.STRETCH) + 2
+                if any(L._common(part, own[i : i + reach]) >= p.need[k] for i in range(len(own))):
+                    want.add((d, k))
+        found = list(L._whole(p, codes, starts, set()))
+        assert {f[:2] for f in found} == want and len(found) == len(want)
+        assert all(L._common(p.parts[k], codes[a:b]) >= p.need[k] and codes[a] and codes[b - 1] for _, k, a, b in found)
