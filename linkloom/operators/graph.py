@@ -40,6 +40,11 @@ def aggregate_links(refs: DataFrame, lines: int = 5) -> DataFrame:
     return refs.groupBy("source", "target", "kind").agg(F.sum("n").alias("n"), F.slice(F.coalesce(flat, F.array().cast("array<bigint>")), 1, lines).alias("lines"))
 
 
+def link_lines(refs: DataFrame) -> DataFrame:
+    """Every distinct (source, target, kind, line) of the links as delivered."""
+    return refs.select("source", "target", "kind", F.explode("lines").alias("line")).filter("line is not null").distinct()
+
+
 def fan(refs: DataFrame) -> DataFrame:
     """(id, fan_in, fan_out): distinct other ends over the kinds that count, a node's own links left out."""
     pairs = refs.filter(F.col("kind").isin(FAN_KINDS) & (F.col("source") != F.col("target"))).select("source", "target").distinct()

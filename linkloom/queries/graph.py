@@ -95,7 +95,7 @@ def dir_dependencies(spark, d):
 
 
 def _references(spark, d) -> DataFrame:
-    """Each line of each CALLS or REFERENCES link, placed in the file of its source."""
+    """The first five lines of each CALLS or REFERENCES link, as the SQL has them, placed in the file of its source."""
     n = _nodes(spark, d).select(F.col("id").alias("source"), "file_path").filter("file_path is not null")
     refs = _links(spark, d).filter(F.col("kind").isin("CALLS", "REFERENCES")).select("source", "target", F.explode("lines").alias("line"))
     return refs.join(n, "source")

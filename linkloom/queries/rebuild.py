@@ -40,7 +40,7 @@ def decoded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     defs = n.filter(ok).select("path", F.xxhash64("id").alias("occ_ord"), "symbol", F.lit(1).alias("symbol_roles"), F.array(line("start_line"), F.lit(4), F.lit(9)).alias("range"), F.array(line("start_line"), F.lit(0), line("end_line"), F.lit(999)).alias("enclosing_range"))
     symbol_of = n.select(F.col("id").alias("target"), "symbol")
     place = n.select(F.col("id").alias("source"), "path")
-    links = graph.aggregate_links(graph.links(table(spark, d, "edges"))).filter("kind in ('CALLS', 'REFERENCES')").select("source", "target", F.explode("lines").alias("at"))
+    links = graph.link_lines(graph.links(table(spark, d, "edges")).filter("kind in ('CALLS', 'REFERENCES')")).select("source", "target", F.col("line").alias("at")).distinct()
     refs = links.join(place, "source").join(symbol_of, "target").select("path", F.xxhash64("source", "target", "at").alias("occ_ord"), "symbol", F.lit(0).alias("symbol_roles"), F.array((F.col("at") - 1).cast("int"), F.lit(20), F.lit(25)).alias("range"), F.array().cast("array<int>").alias("enclosing_range"))
     occurrences = defs.unionByName(refs).select(zero, number.alias("doc_ord"), "occ_ord", "symbol", "symbol_roles", "range", "enclosing_range")
     documents = n.select("path").distinct().select(zero, number.alias("doc_ord"), "path", F.lit(None).cast("string").alias("language"), F.lit("derived").alias("tool"))

@@ -1,8 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions.symbols import with_symbol
 from linkloom.plans.build import build
+from linkloom.queries import rebuild
 
 PY = "scip-python python shop-kit 2.1 "
 RS = "rust-analyzer cargo ledger 0.3.0 "
@@ -102,3 +105,22 @@ def test_duplicates_ignored_and_repeated_documents(spark):
 def test_empty_inputs(spark):
     out = inputs(spark, [], ["only.py"])
     assert {r.id for r in out.nodes.collect()} == {"file:only.py", "module:."} and out.edges.count() == 1
+
+
+def test_every_line_of_a_link_is_rebuilt(spark, tmp_path):
+    """Seven lines under one id and five more under two others, of which two are the same."""
+    run, put = PY + "`cli.main`/run().", PY + "`shop.store`/put()."
+    node = lambda i, path, symbol: (i, "FUNCTION", i, path, 1, 40, "python", json.dumps({"symbol": symbol}))
+    tables = {
+        "nodes": ([node("a", "cli/main.py", run), node("b", "lib/store.py", put)], "id string, type string, name string, file_path string, start_line long, end_line long, language string, metadata string"),
+        "edges": ([(i, "a", "b", "CALLS", json.dumps({"count": len(at), "lines": at})) for i, at in enumerate(([2, 3, 4, 5, 6, 7, 8], [9, 10, 3], [11, 10]))] + [(3, "a", "b", "CALLS", None), (4, "a", None, "CALLS", '{"lines": [30]}')], "id long, source_id string, target_id string, type string, metadata string"),
+        "file_manifest": ([(5, p, "h", "python", 10, 40, None) for p in ("cli/main.py", "lib/store.py")], "snapshot_no int, file_path string, content_hash string, language string, size long, lines long, indexed_by string"),
+    }
+    for name, (rows, columns) in tables.items():
+        df = spark.createDataFrame(rows, columns)
+        if name == "file_manifest":
+            df = df.withColumn("loaded_at", F.current_timestamp())
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.kind: (r.edges, r.references) for r in rebuild.rebuilt_graph(spark, str(tmp_path)).collect()}
+    assert got["CALLS"] == (1, 10)
+    assert {r.name: r.value for r in rebuild.rebuilt_stats(spark, str(tmp_path)).collect()}["resolved"] == 10
