@@ -47,6 +47,8 @@ _USUAL = re.compile("[\x00-\x7f\xa0-\u017f\u0192\u0218-\u021b\u02c6-\u02dd\u0300
 _MIXED = re.compile("[\u3041-\u9fff\uac00-\ud7a3](?=[\u00c0-\u052f])|[\u00c0-\u052f](?=[\u3041-\u9fff\uac00-\ud7a3])")
 _FOREIGN = re.compile("[\u0530-\u0fff\u1e00-\u1fff]{3,}")
 _LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])|\?\?+(?=[^\W\d_])|(?<=[^\W\d_])\?\?+(?=\s[^\W\d_])")
+# neighbouring words of which nothing is left
+_LOST_WORDS = re.compile(r"(?<!\S)\?{2,}(?:[ \t,.;:]+\?{2,})+(?!\w)")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _WIDE = re.compile("[　-鿿가-힯｡-ﾟ]")
 _HIGH_WORD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*[^\x00-\x7f][^ \t\r\n]*")
@@ -289,6 +291,11 @@ def _search(text: str, coders: _Codecs, model: _Model) -> tuple[str, bool]:
     return best, best_cost < start
 
 
+def _marks(text: str) -> bool:
+    """Question marks in the place of letters: twice beside letters, or six as neighbouring words."""
+    return len(_LOST.findall(text)) >= 2 or any(m.count("?") >= 6 for m in _LOST_WORDS.findall(text))
+
+
 def _repair(pairs: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coders, model = _Codecs(), _Model(pairs, counts)
@@ -301,7 +308,7 @@ def _repair(pairs: np.ndarray, counts: np.ndarray):
             look = coders.worth_a_look(bare)
             rows = []
             for i, (x, b) in enumerate(zip(lines, bare, strict=True)):
-                lost = "�" in b or ("?" in b and len(_LOST.findall(b)) >= 2) or bool(_CONTROL.search(b))
+                lost = "�" in b or ("?" in b and _marks(b)) or bool(_CONTROL.search(b))
                 worth = look[i] or _odd(b, excess[i])
                 if not lost and not worth:
                     continue
@@ -327,7 +334,9 @@ def garbled_lines(documents: DataFrame, key: str = "doc_id", text: str = "text")
     are searched whole; an empty table gives no rows.
     """
     lines = documents.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    lines = spread(lines.filter(F.col("line").rlike(r"[^\x00-\x7f]|[a-z]\?[a-z]")))
+    # beyond signs above ASCII, all that _LOST and _LOST_WORDS may accept
+    marks = F.contains("line", F.lit("?")) & F.col("line").rlike(r"[A-Za-z]\?[A-Za-z]|\?\?")
+    lines = spread(lines.filter((F.octet_length("line") != F.char_length("line")) | marks))
     counted = lines.select("line").mapInPandas(_count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     model = counted.toPandas()  # fewer than 2.9 million pairs, see _classes
     kind = dict(lines.dtypes)["key"]

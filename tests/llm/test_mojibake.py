@@ -57,3 +57,13 @@ def test_given_data(spark, sf):
     marks = "â€|Ã©|Ã¼|Ã¶|Ã£|Ã³|Ð°Ð|├®|┬á"
     sure = spark.read.parquet(f"{sf}/documents.parquet").filter(F.regexp_replace("text", "`[^`]*`", "").rlike(marks)).select("doc_id")
     assert {r[0] for r in sure.collect()} <= {r[0] for r in queries.p8_found(spark, sf).collect()}
+
+
+def test_lines_of_which_only_question_marks_are_left(spark):
+    lost = [
+        "B??d pojawia si?, gdy tre?? jest pusta", "f??r die ??bersicht", "GR?SSE UND L?NGE", "one line\n?????? ???, ?????\nanother line",
+        "\u041e\u0448\u0438\u0431\u043a\u0430 \u043f\u0440\u0438 \u0447\u0442\u0435\u043d\u0438\u0438".encode("ascii", "replace").decode(),
+    ]
+    kept = ["Why? Really??", "a ?? b ?? c", "x?.y ?? z?.w", "What is this???", "unknown: ??? (see above)", "GET /a?b=1", "`?????? ???` is what a reader sees", "?? ??"]
+    found, _ = run(spark, lost + kept)
+    assert found == set(range(len(lost)))
