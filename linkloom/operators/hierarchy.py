@@ -3,8 +3,9 @@
 Parent chains are contracted inside each partition: every node learns the top of its local chain and
 the exit (the parent of that top, which lives elsewhere). Only the tops go on, as a smaller quotient
 forest with weighted links, which is solved the same way until it fits one task; its answers are then
-joined back, level by level. A chain that runs into itself, in a partition or only in the quotient,
-is a cycle.
+joined back, level by level. Chains that end in a root are solved where they are, and no root goes on,
+so that the quotient has no more nodes than there are links between partitions. A chain that runs into
+itself, in a partition or only in the quotient, is a cycle.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from linkloom.session import cut
 #: Nodes that one task contracts. A forest up to this size is solved in one task.
 NODES_PER_TASK = 100_000
 
-_CHAIN = "node string, top string, steps bigint, exit string, weight bigint, state int, chain array<string>, below array<string>"
+_CHAIN = "node string, top string, steps bigint, exit string, weight bigint, state int, chain array<string>, below array<string>, goal string"
 
 
 def _contract(with_path: bool):
@@ -40,21 +41,28 @@ def _contract(with_path: bool):
             steps, jump = steps + steps[jump], jump[jump]
         loops = up[jump] >= 0  # no top after at least n steps: on a cycle of this partition, or below one
         node = f["node"].to_numpy(object)
+        # a node without parent is a root, or one whose root, depth and path are known from the level below
+        ended = f["parent"].isna().to_numpy()[jump] & ~loops
+        steps = steps + np.where(ended, f["weight"].to_numpy(np.int64)[jump], 0)
         below: list = [None] * n
         if with_path:  # the part of the path below the top; parents come first, as weights are positive
             for i in np.argsort(np.where(loops, -1, steps), kind="stable"):
-                below[i] = [] if up[i] < 0 or loops[i] else [*below[up[i]], *f["chain"].iat[i]]
+                if up[i] < 0 or loops[i]:
+                    below[i] = list(f["chain"].iat[i]) if ended[i] else []
+                else:
+                    below[i] = [*below[up[i]], *f["chain"].iat[i]]
         yield pd.DataFrame({
             "node": node, "top": np.where(loops, None, node[jump]), "steps": np.where(loops, 0, steps),
             "exit": np.where(up < 0, f["parent"].to_numpy(object), None), "weight": f["weight"],
-            "state": loops.astype(np.int32), "chain": f["chain"], "below": below,
+            "state": loops.astype(np.int32), "chain": f["chain"], "below": below, "goal": np.where(ended, f["root"].to_numpy(object)[jump], None),
         })
 
     return run
 
 
 def _solve(nodes: DataFrame, level: int, with_path: bool, per_task: int) -> DataFrame:
-    """nodes (node, parent, weight, chain), cut, to (node, root, depth, state, path)."""
+    """nodes (node, parent, weight, chain, root), cut, to (node, root, depth, state, path). Those without
+    a parent have a root, with the weight and the chain from there; the others have none."""
     parts = max(1, -(-nodes.count() // per_task))
     if parts == 1:
         placed = nodes.coalesce(1)
@@ -69,24 +77,28 @@ def _solve(nodes: DataFrame, level: int, with_path: bool, per_task: int) -> Data
         placed = nodes.withColumn("at", at).repartition(parts, "at").drop("at")
     local = cut(placed.mapInPandas(_contract(with_path), _CHAIN))
     if parts == 1:
-        path = F.concat(F.col("top_chain"), F.col("below")) if with_path else F.lit(None).cast("array<string>")
-        if with_path:
-            tops = local.filter("node = top").select("top", F.col("chain").alias("top_chain"))
-            local = local.join(tops, "top", "left")
-        return local.select("node", F.col("top").alias("root"), F.col("steps").alias("depth"), "state", path.alias("path"))
-    out = local.select(F.col("node").alias("exit"), F.col("top").alias("exit_top"), F.col("steps").alias("exit_steps"), F.col("state").alias("exit_state"), F.col("below").alias("exit_below"))
-    joined = local.filter("node = top").select("node", "exit", "weight", "chain").join(out, "exit", "left")
+        return local.select("node", F.col("goal").alias("root"), F.col("steps").alias("depth"), "state", F.col("below").alias("path"))
+    out = local.select(F.col("node").alias("exit"), F.col("top").alias("exit_top"), F.col("steps").alias("exit_steps"), F.col("state").alias("exit_state"), F.col("below").alias("exit_below"), F.col("goal").alias("exit_goal"))
+    joined = local.filter("node = top and goal is null").select("node", "exit", "weight", "chain").join(out, "exit", "left")
     # below a local cycle: its own parent, hence a cycle of the quotient too
     lost = F.coalesce(F.col("exit_state") == 1, F.lit(False))
     quotient = joined.select(
         "node",
-        F.when(lost, F.col("node")).otherwise(F.col("exit_top")).alias("parent"),
+        F.when(lost, F.col("node")).when(F.col("exit_goal").isNull(), F.col("exit_top")).alias("parent"),
         (F.col("weight") + F.coalesce("exit_steps", F.lit(0))).alias("weight"),
-        F.when(F.col("exit").isNull(), F.col("chain")).otherwise(F.concat("exit_below", "chain")).alias("chain"),
+        F.concat("exit_below", "chain").alias("chain"),
+        F.col("exit_goal").alias("root"),
     )
     solved = _solve(cut(quotient), level + 1, with_path, per_task).withColumnsRenamed({"node": "top", "state": "top_state"})
-    state = F.when(F.col("state") == 1, F.col("state")).otherwise(F.col("top_state"))
-    return local.join(solved, "top", "left").select("node", "root", (F.col("depth") + F.col("steps")).alias("depth"), state.alias("state"), F.concat("path", "below").alias("path"))
+    own = F.col("goal").isNotNull() | (F.col("state") == 1)
+    either = lambda here, above: F.when(own, here).otherwise(above)
+    return local.join(solved, "top", "left").select(
+        "node",
+        either(F.col("goal"), F.col("root")).alias("root"),
+        either(F.col("steps"), F.col("depth") + F.col("steps")).alias("depth"),
+        either(F.col("state"), F.col("top_state")).alias("state"),
+        either(F.col("below"), F.concat("path", "below")).alias("path"),
+    )
 
 
 def hierarchy(links: DataFrame, child: str = "target_id", parent: str = "source_id", with_path: bool = False, per_task: int = NODES_PER_TASK) -> DataFrame:
@@ -101,7 +113,7 @@ def hierarchy(links: DataFrame, child: str = "target_id", parent: str = "source_
     both = ends.unionByName(ends.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
     nodes = both.groupBy("node").agg(F.min("parent").alias("parent"))
     chain = F.array("node") if with_path else F.lit(None).cast("array<string>")
-    start = cut(nodes.select("node", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("weight"), chain.alias("chain")))
+    start = cut(nodes.select("node", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("weight"), chain.alias("chain"), F.when(F.col("parent").isNull(), F.col("node")).alias("root")))
     bad = F.col("state") == 1
     return _solve(start, 0, with_path, per_task).select(
         F.col("node").alias("node_id"),

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from linkloom.operators import hierarchy as H
 from linkloom.operators.hierarchy import descendants, hierarchy
 
 
@@ -50,3 +51,17 @@ def test_empty_and_descendants(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "x")], "source_id string, target_id string")
     pairs = descendants(hierarchy(df, with_path=True)).collect()
     assert sorted(tuple(r) for r in pairs) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+
+
+@pytest.mark.parametrize("per_task", [7, 30])
+def test_more_roots_than_one_task_holds(spark, monkeypatch, per_task):
+    rng, solve = random.Random(8), H._solve
+
+    def bounded(nodes, level, *rest):
+        assert level < 9, "no end"
+        return solve(nodes, level, *rest)
+
+    monkeypatch.setattr(H, "_solve", bounded)
+    names = [f"n{i:03}" for i in rng.sample(range(160), 160)]
+    links = [(names[i], names[i + 50]) for i in range(50)] + [(names[50 + i], names[100 + i]) for i in range(40)] + [(names[140], names[141]), (names[141], names[140]), (names[141], names[142])]
+    assert solved(spark, links, per_task) == brute(links)
