@@ -27,16 +27,21 @@ def texts():
     return ["", None, " ", "  a", "<|endoftext|> it's WE'LL", "x" * 20_000, "\n" * 5000 + "a", "same", "same", *made]
 
 
-@pytest.mark.parametrize("limits", [(32_000_000, 500_000), (0, 20)])
-def test_ids_equal_the_public_encoder(spark, whole, limits, monkeypatch):
-    monkeypatch.setattr(encoding, "BROADCAST_BYTES", limits[0])
-    monkeypatch.setattr(encoding, "FREQUENT_WORDS", limits[1])
-    rows = list(enumerate(texts()))
+@pytest.mark.parametrize("frequent", [100_000, 20, 0])
+def test_ids_equal_the_public_encoder(spark, whole, frequent):
+    rows = [*enumerate(texts()), (None, "a key that is null"), (3, "a key that is repeated")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "word": F.lit("w"), "key": F.lit("k")})
-    encoded = encoding.encode(df)
-    got = {r.doc_id: r.ids for r in encoded.collect()}
-    assert got == {i: whole.encode_ordinary(t) if t else [] for i, t in rows}
-    assert {r.doc_id: r.text for r in encoding.decode(encoded).collect()} == {i: t or "" for i, t in rows}
+    encoded = encoding.encode(df, frequent_words=frequent)
+    order = lambda rows: sorted(rows, key=repr)
+    assert order((r.doc_id, r.ids) for r in encoded.collect()) == order((i, whole.encode_ordinary(t) if t else []) for i, t in rows)
+    unique = encoded.filter("doc_id is null or doc_id <> 3")
+    assert {r.doc_id: r.text for r in encoding.decode(unique).collect()} == {i: t or "" for i, t in rows if i != 3}
+
+
+def test_long_words_are_never_held_by_every_task(spark, whole):
+    rows = [(i, "x" * 300 + " and " + "y" * i) for i in range(300)]
+    got = encoding.encode(spark.createDataFrame(rows, "doc_id long, text string"), frequent_words=10)
+    assert {r.doc_id: r.ids for r in got.collect()} == {i: whole.encode_ordinary(t) for i, t in rows}
 
 
 def test_empty_table(spark):
