@@ -1,33 +1,60 @@
 """Generated, minified, vendored and data files among source files, from the manifest alone.
 
-A character trigram model per language is trained on the identifiers in all file names. Names that
-the model finds improbable are foreign to the code base or mangled; marks whose tokens stand in one
-place of a name only are templates of a generator. Length of lines and size add what names can't show.
+A character trigram model per language is trained on the identifiers in all file names. Three kinds of
+evidence come from names: folders that the model finds improbable are foreign, parts of a name that it
+finds improbable are mangled, and names that differ in one slot only are templates. Evidence is added
+up in bits. Public conventions (names of vendor and build folders, marks of generators), sizes and
+lengths of lines add bits of their own; no list decides alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import clean_path, language_of
+from linkloom.session import cut
 
-#: Bytes a line from which no one writes by hand, and bytes from which a file is data.
-MINIFIED_BYTES_A_LINE, DATA_BYTES = 1000, 600_000
-#: Bits a character by which a name exceeds the usual name, from which it counts as foreign.
-FOREIGN_BITS = 0.8
-#: Bits of a trigram that was never seen, and the share of one end of the name from which a token is a template.
-UNSEEN_BITS, TEMPLATE_SHARE = 12.0, 0.6
+LANGUAGES = ["rust", "typescript", "javascript", "python", "other"]
+#: Bits a sign above the usual name from which a folder is foreign, and what a convention above it adds.
+FOREIGN_BITS = 2.0
+VENDOR_PRIOR, STORE_PRIOR, VERSION_PRIOR = 1.2, 3.0, 1.0
+#: Bits by which lines are longer than usual in the language, from which a file is minified; improbable
+#: parts of its name add to them.
+MINIFIED_BITS, MINIFIED_LEAST = 5.0, 2000
+#: Bits by which a file is larger than usual in the language, from which it is data.
+DATA_BITS = 7.0
+#: Bits of the largest usual size and of the longest usual line.
+USUAL_SIZE, USUAL_LINE = 14.0, 6.0
+#: A template: bits by which its files are larger than usual, as a mean with a few files of the prior;
+#: share of distinct fillers of the slot (of so many files, as words repeat in more), and of the uses of
+#: its token that are in this slot.
+TEMPLATE_BITS, TEMPLATE_PRIOR, PRIOR_FILES = 2.0, 3.5, 4
+FILLERS, FILLERS_ENOUGH, SLOT_SHARE, UNLISTED_FILES = 0.7, 24, 0.1, 8
 
 # Public conventions of build tools and package managers.
-STORES = ["node_modules", "bower_components", "site-packages", "dist-packages", ".venv", "venv", "jspm_packages"]
+STORES = ["node_modules", "bower_components", "site-packages", "dist-packages", "jspm_packages"]
 VENDOR_DIRS = ["vendor", "vendored", "third-party", "third_party", "thirdparty", "3rdparty", "external", "extern", "externals", "contrib", "deps", "upstream"]
-BUILD_DIRS = r"(gen|generated|dist|out|_build|_site|\.next|\.nuxt|\.output|storybook-static|bazel-out|build/lib)/"  # right under a package
-BUILD_DIRS_ANYWHERE = r"(^|/)(__generated__|lcov-report|htmlcov|__pycache__|target/(debug|release)|docs/_build|generated-sources|cmake-build-[a-z]+)/"
-GENERATOR_MARKS = ["g", "generated", "designer", "autogen", "bindings", "pb", "pb2", "grpc", "tab", "zz", "gen"]
-SECOND_EXTENSION = r"\.(g|generated|gen|designer|autogen|bindings|pb|tab)\.[a-z]+$"
-AFFIX = r"_pb2(_grpc)?\.pyi?$|[._-](auto)?generated\.[a-z]+$|^zz_generated[._-]"
-MINIFIED_NAME = r"[.-]min\.[a-z]+$|\.bundle\.[a-z]+$|^chunk-[0-9a-f]{6,}\.[a-z]+$"
+BUILD_DIRS = ["gen", "generated", "dist", "out", "build", "target", "coverage", "_build", "_site", ".next", ".nuxt", ".output", "storybook-static", "bazel-out"]  # beside the sources
+BUILD_DIRS_ANYWHERE = ["__generated__", "lcov-report", "htmlcov", "__pycache__", "generated-sources"]
+SOURCE_DIRS = ["src", "lib", "test", "tests"]
+TAIL_MARKS = ["g", "generated", "gen", "designer", "autogen", "autogenerated", "bindings", "pb", "pb2", "grpc", "tab", "min", "bundle"]
+HEAD_MARKS = ["zz", "chunk"]
+MINIFIED_MARKS = ["min", "bundle", "chunk"]
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0?^$"
+_N = len(_LETTERS)
+_CODE = np.full(0x80, _LETTERS.index("?"), np.int64)
+for _i, _c in enumerate(_LETTERS[:26]):
+    _CODE[[ord(_c), ord(_c.upper())]] = _i
+_CODE[48:58] = _LETTERS.index("0")
+_SPLIT = r"[_\-.\s@+]+"
 
 
 def manifest_files(manifest: DataFrame) -> DataFrame:
@@ -35,97 +62,203 @@ def manifest_files(manifest: DataFrame) -> DataFrame:
     path = clean_path(F.col("file_path"))
     files = manifest.select(path.alias("file_path"), F.col("size").cast("double").alias("size"), F.col("lines").cast("double").alias("lines"), F.lower(F.trim("language")).alias("language"))
     one = files.filter("file_path is not null").groupBy("file_path").agg(F.avg("size").alias("size"), F.avg("lines").alias("lines"), F.max("language").alias("given"))
-    language = F.coalesce(language_of(F.col("file_path")), F.when(F.col("given").isin("rust", "typescript", "javascript", "python"), F.col("given")), F.lit("other"))
+    language = F.coalesce(language_of(F.col("file_path")), F.when(F.col("given").isin(LANGUAGES), F.col("given")), F.lit("other"))
     return one.select("file_path", "size", "lines", language.alias("language"))
 
 
-def _plain(name: Column) -> Column:
-    """Lower case; every letter outside a-z reads as ?, so the alphabet has 39 signs."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "[0-9]", "0"), "[^a-z0]", "?")
+def _grams(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of the identifiers in names, as numbers below 30^3, and the identifier each is in;
+    the identifiers of a name follow each other."""
+    spaced = pc.replace_substring_regex(pc.fill_null(names, ""), r"([a-z0-9])([A-Z])", r"\1_\2")
+    joined = "\n".join(pc.replace_substring_regex(spaced, _SPLIT, "\n").to_pylist())
+    signs = np.frombuffer((joined + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.flatnonzero(signs == 10)
+    codes = _CODE[np.where(signs < 0x80, signs, 0x3F)]
+    sizes = np.diff(ends, prepend=-1) - 1
+    # ^^name$ of every identifier, one after the other
+    word = np.repeat(np.arange(len(ends)), sizes + 3)
+    starts = np.cumsum(sizes + 3) - (sizes + 3)
+    padded = np.full(len(word), _LETTERS.index("^"), np.int64)
+    inner = signs != 10
+    owner = np.cumsum(signs == 10) - (signs == 10)
+    padded[starts[owner[inner]] + 2 + (np.flatnonzero(inner) - (ends[owner[inner]] - sizes[owner[inner]]))] = codes[inner]
+    padded[starts + sizes + 2] = _LETTERS.index("$")
+    keep = np.arange(len(word)) - starts[word] < sizes[word] + 1
+    keep &= sizes[word] > 0
+    at = np.flatnonzero(keep)
+    return (padded[at] * _N + padded[at + 1]) * _N + padded[at + 2], word[at]
 
 
-def _trigrams(name: Column) -> Column:
-    padded = F.concat(F.lit("^^"), name, F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.char_length(name) + 1), lambda i: F.substring(padded, i, 3))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for language in LANGUAGES:
+            names = b.column(1).filter(pc.equal(b.column(0), language))
+            if len(names):
+                grams, n = np.unique(_grams(names)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams)), pa.array(grams), pa.array(n)], ["language", "gram", "n"])
 
 
-def _pieces(stem: Column) -> Column:
-    camel = F.regexp_replace(stem, "([a-z0-9])([A-Z])", "$1_$2")
-    return F.filter(F.split(camel, r"[_\-.\s@]+"), lambda x: x != "")
+class NameModel:
+    """Conditional bits of the last sign of every trigram, and of the usual one: a table of a fixed size,
+    whatever the input."""
 
+    def __init__(self, counts: pd.DataFrame):
+        self.bits, self.usual = {}, {}
+        for language in LANGUAGES:
+            own = counts[counts["language"] == language]
+            n = np.zeros(_N**3)
+            n[own["gram"].to_numpy(np.int64)] = own["n"].to_numpy(np.float64)
+            of = np.repeat(n.reshape(-1, _N).sum(1), _N)
+            bits = np.minimum(12.0, -np.log2((n + 0.05) / (of + 2.0)))
+            self.bits[language], self.usual[language] = bits, float((n * bits).sum() / max(1.0, n.sum()))
 
-def identifier_model(names: DataFrame) -> DataFrame:
-    """names (language, piece) to (language, gram, bits): conditional bits of a trigram's last sign.
+    def excess(self, language: str, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each name the bits a sign above the usual one, and the same of its most improbable
+        identifier of six signs or more that is plain ASCII (0 without any)."""
+        grams, word = _grams(names)
+        bits = self.bits[language][grams]
+        parts = pc.add(pc.count_substring_regex(pc.replace_substring_regex(pc.replace_substring_regex(pc.fill_null(names, ""), r"([a-z0-9])([A-Z])", r"\1_\2"), _SPLIT, "\n"), "\n"), 1).to_numpy(zero_copy_only=False)
+        name = np.repeat(np.arange(len(names)), parts)
+        words = len(name)
+        n, total = np.bincount(word, minlength=words), np.bincount(word, bits, minlength=words)
+        foreign = np.bincount(word, (grams // _N) % _N == _LETTERS.index("?"), minlength=words)
+        whole = np.bincount(name, total, minlength=len(names)) / np.maximum(1, np.bincount(name, n, minlength=len(names))) - self.usual[language]
+        single = np.where((n >= 7) & (foreign == 0), total / np.maximum(1, n) - self.usual[language], 0.0)
+        worst = np.zeros(len(names))
+        np.maximum.at(worst, name, single)
+        return whole, worst
 
-    At most 39^3 trigrams for each of five languages, whatever the input: safe to broadcast.
-    """
-    grams = names.groupBy("language", "piece").agg(F.count("*").alias("n")).select("language", "n", F.explode(_trigrams(_plain(F.col("piece")))).alias("gram"))
-    counts = grams.groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    context = counts.groupBy("language", F.substring("gram", 1, 2).alias("context")).agg(F.sum("n").alias("of"))
-    both = counts.withColumn("context", F.substring("gram", 1, 2)).join(F.broadcast(context), ["language", "context"])
-    return both.select("language", "gram", F.least(F.lit(UNSEEN_BITS), -F.log2((F.col("n") + 0.05) / (F.col("of") + 2.0))).alias("bits"))
 
+def _score(model: NameModel):
+    """(file_path, language, stem, folder) to (file_path, foreign, mangled)."""
 
-def cross_entropy(names: DataFrame, model: DataFrame) -> DataFrame:
-    """names (language, piece), distinct, to (language, piece, bits): bits a character under the model."""
-    grams = names.select("language", "piece", F.explode(_trigrams(_plain(F.col("piece")))).alias("gram"))
-    scored = grams.join(F.broadcast(model), ["language", "gram"], "left")
-    return scored.groupBy("language", "piece").agg(F.avg(F.coalesce("bits", F.lit(UNSEEN_BITS))).alias("bits"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            foreign, mangled = np.zeros(b.num_rows), np.zeros(b.num_rows)
+            for language in LANGUAGES:
+                own = pc.equal(b.column(1), language)
+                at = np.flatnonzero(own.to_numpy(zero_copy_only=False))
+                if len(at):
+                    foreign[at] = model.excess(language, b.column(3).filter(own))[0]
+                    mangled[at] = model.excess(language, b.column(2).filter(own))[1]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(foreign), pa.array(mangled)], ["file_path", "foreign", "mangled"])
 
+    return run
 
-def classify(manifest: DataFrame, package: str = r"packages/[^/]+/") -> DataFrame:
-    """file_path, kind of each file that isn't hand-written: vendored, generated, minified or data.
 
-    Rows without a path are ignored; a missing size or line count only removes the evidence that
-    needs it (``package`` is the pattern of a package's folder); rows of one file, repeated or of several snapshots, are averaged. An empty table gives
-    no rows and further columns are not read. Paths and names count whole, however long.
+def name_model(files: DataFrame) -> NameModel:
+    """Trained on the stems of all files; at most 30^3 rows for each language reach the driver."""
+    counts = files.select("language", _stem().alias("stem")).mapInArrow(_count, "language string, gram bigint, n bigint")
+    return NameModel(counts.groupBy("language", "gram").agg(F.sum("n").alias("n")).toPandas())
+
+
+def _name() -> Column:
+    return F.element_at(F.split("file_path", "/"), -1)
+
+
+def _stem() -> Column:
+    return F.regexp_extract(_name(), r"^(.[^.]*)", 1)
+
+
+def _slot(end: str) -> Column:
+    """The separator and first or last token of a name with more than one, as `.generated` or `zz_`."""
+    low = F.lower(F.regexp_replace(_name(), r"\.[A-Za-z0-9]+$", ""))
+    found = F.regexp_extract(low, r"[^._-]([._-][a-z0-9]+)$" if end == "tail" else r"^([a-z0-9]+[._-])[^._-]", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def templates(files: DataFrame) -> DataFrame:
+    """(slot) of names that are templates, from files with slots and ``larger``, bits above the usual size.
+
+    A slot is a template if its token keeps to it, ever new names fill it, and its files are larger than
+    those written by hand; a mark of generators counts as a few larger files that were seen before.
     """
-    files = manifest_files(manifest)
-    segments = F.split(F.col("file_path"), "/")
-    name = F.element_at(segments, -1)
-    stem = F.regexp_extract(name, r"^(.[^.]*)", 1)
-    lower = F.lower("file_path")
-    files = files.select("*", name.alias("name"), stem.alias("stem"), lower.alias("lower"), F.split(lower, "/").alias("segs"))
-
-    own = files.select("language", F.posexplode(_pieces(F.col("stem"))).alias("at", "piece"), F.size(_pieces(F.col("stem"))).alias("of"), "name")
-    model = identifier_model(own)
-    # what is usual: the mean over all names, each counted as often as it is used
-    uses = own.groupBy("language", "piece").agg(F.count("*").alias("uses"))
-    scored = cross_entropy(uses.select("language", "piece"), model).join(uses, ["language", "piece"])
-    typical = scored.groupBy("language").agg((F.sum(F.col("bits") * F.col("uses")) / F.sum("uses")).alias("usual"))
-
-    # the folder right after a vendor folder, if it is one
-    at = F.array_max(F.transform(F.array(*map(F.lit, VENDOR_DIRS)), lambda d: F.array_position(F.slice("segs", 1, F.size("segs") - 2), d)))
-    owner = F.when(at > 0, F.element_at(segments, at.cast("int") + 1))
-    after = files.select("file_path", "language", F.regexp_replace(owner, r"-\d+(\.\d+)+$", "").alias("piece"), owner.rlike(r"^@|-\d+(\.\d+)+$").alias("versioned")).filter("piece is not null")
-    bits = cross_entropy(after.select("language", "piece").distinct(), model)
-    foreign = (
-        after.join(bits, ["language", "piece"], "left").join(F.broadcast(typical), "language", "left")
-        .filter(F.col("versioned") | (F.col("bits") > F.coalesce("usual", F.lit(0.0)) + FOREIGN_BITS)).select("file_path", F.lit(True).alias("foreign"))
+    tokens = F.filter(F.split(F.lower(_name()), r"[._-]"), lambda t: t != "")
+    uses = files.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
+    rest = F.regexp_replace(F.lower(_name()), r"\.[a-z0-9]+$", "")
+    spots = files.select("larger", rest.alias("rest"), F.explode(F.array("tail", "head")).alias("slot")).filter("slot is not null")
+    groups = spots.groupBy("slot").agg(
+        F.count("*").alias("n"), F.sum("larger").alias("sum"), F.coalesce(F.stddev("larger"), F.lit(0.0)).alias("spread"), F.approx_count_distinct("rest", 0.02).alias("fillers")
     )
+    token = F.regexp_replace("slot", r"[._-]", "")
+    tail = F.col("slot").rlike(r"^[._-]")
+    known = groups.withColumn("token", token).join(uses, "token")
+    listed = F.when(tail, F.col("token").isin(TAIL_MARKS)).otherwise(F.col("token").isin(HEAD_MARKS))
+    with_prior = (F.col("sum") + TEMPLATE_PRIOR * PRIOR_FILES) / (F.col("n") + PRIOR_FILES)
+    sure = F.col("sum") / F.col("n") - 2 * F.col("spread") / F.sqrt("n")
+    unlisted = (F.col("n") >= UNLISTED_FILES) & (sure >= TEMPLATE_BITS)
+    slot = (F.col("fillers") + 1 >= FILLERS * F.least("n", F.lit(FILLERS_ENOUGH))) & (F.col("n") >= SLOT_SHARE * F.col("uses"))
+    return known.filter(slot & F.when(listed, with_prior >= TEMPLATE_BITS).otherwise(unlisted)).select("slot", listed.alias("listed"))
+
 
-    # marks of generators that are templates: their token keeps to one end of the names that hold it
-    split = F.split(F.lower("name"), r"[_\-.]")
-    tokens = files.select("file_path", F.explode(F.array_distinct(F.filter(split, lambda x: x.isin(GENERATOR_MARKS)))).alias("token"), (F.reverse(split)).alias("back"))
-    spots = tokens.groupBy("token", (F.array_position("back", F.col("token")) <= 3).alias("tail")).agg(F.count("*").alias("n"))
-    spread = spots.groupBy("token").agg(F.max("n").alias("most"), F.sum("n").alias("all"))  # of the fixed list: a dozen rows at most
-    templates = tokens.join(F.broadcast(spread.filter(F.col("most") >= TEMPLATE_SHARE * F.col("all"))), "token", "left_semi")
-    evidence = (
-        foreign.unionByName(templates.select("file_path", F.lit(False).alias("foreign")))
-        .groupBy("file_path").agg(F.max("foreign").alias("foreign"), F.min("foreign").alias("only_foreign"))
+def build_folders(files: DataFrame) -> DataFrame:
+    """(file_path) of files below a folder that tools write: its name is usual for one, it stands beside
+    the sources or has a name that no one else uses, and the files in all such folders are larger."""
+    folders = F.split("lower", "/")
+    inner = F.slice(folders, 1, F.size(folders) - 1)
+    spots = F.filter(F.transform(inner, lambda d, i: F.struct(d.alias("folder"), F.array_join(F.slice(inner, 1, i), "/").alias("above"))), lambda s: s["folder"].isin(BUILD_DIRS + BUILD_DIRS_ANYWHERE))
+    outer = F.get(spots, 0)  # what lies deeper tells nothing new
+    rows = files.select("file_path", "larger", outer.alias("s")).filter("s is not null").select("file_path", "larger", "s.folder", "s.above")
+    # all places of sources, once each
+    at = F.filter(F.transform(inner, lambda d, i: F.when(d.isin(SOURCE_DIRS), F.array_join(F.slice(inner, 1, i), "/"))), lambda p: p.isNotNull())
+    sources = files.select(F.explode(F.slice(at, 1, 1)).alias("above")).distinct().withColumn("source", F.lit(True))
+    placed = rows.join(sources, "above", "left").select("file_path", "larger", "folder", (F.coalesce("source", F.lit(False)) | F.col("folder").isin(BUILD_DIRS_ANYWHERE)).alias("beside"))
+    prior = F.when(F.first("beside"), TEMPLATE_PRIOR).otherwise(0.0)
+    mean = (F.sum("larger") + prior * PRIOR_FILES) / (F.count("*") + PRIOR_FILES)
+    found = placed.groupBy("folder", "beside").agg(mean.alias("mean")).filter(F.col("mean") >= TEMPLATE_BITS / 2)  # of the fixed lists: a few rows
+    return placed.join(F.broadcast(found.select("folder", "beside")), ["folder", "beside"], "left_semi").select("file_path").distinct()
+
+
+def evidence(manifest: DataFrame) -> DataFrame:
+    """Every file with its evidence, all of it from one pass over the manifest: file_path, foreign (bits
+    a sign, with priors), minified and larger (bits), template, listed, built."""
+    files = cut(manifest_files(manifest))
+    model = name_model(files)
+    size, a_line = F.log2(F.col("size") + 1), F.log2(F.col("size") / F.greatest(F.col("lines"), F.lit(1.0)) + 1)
+    # five rows; where most files are data, data still isn't what people write
+    middle = lambda c, most: F.least(F.percentile_approx(c, 0.5), F.lit(most))
+    usual = files.groupBy("language").agg(middle(size, USUAL_SIZE).alias("usual_size"), middle(a_line, USUAL_LINE).alias("usual_line"))
+    segments = F.split("lower", "/")
+    inner = F.slice(segments, 1, F.size(segments) - 2)
+    # the last folder that is followed by another one and is a store or is meant for foreign code
+    last = F.array_max(F.transform(inner, lambda d, i: F.when(d.isin(STORES + VENDOR_DIRS), i + 1).otherwise(0)))
+    folder = F.when(last > 0, F.get(segments, last))
+    prior = F.when(F.get(segments, last - 1).isin(STORES), STORE_PRIOR).otherwise(VENDOR_PRIOR)
+    version = F.when(folder.rlike(r"-\d+(\.\d+)+$"), VERSION_PRIOR).otherwise(0.0)
+    wide = files.withColumn("lower", F.lower("file_path")).join(F.broadcast(usual), "language").select(
+        "file_path", "language", "lower", "size", "lines", F.coalesce(size - F.col("usual_size"), F.lit(0.0)).alias("larger"), (a_line - F.col("usual_line")).alias("longer"),
+        F.regexp_replace(folder, r"-\d+(\.\d+)+$", "").alias("folder"), F.when(last > 0, prior + version).alias("prior"), _slot("tail").alias("tail"), _slot("head").alias("head"),
+    )
+    scored = wide.select("file_path", "language", _stem().alias("stem"), F.coalesce("folder", F.lit("")).alias("folder")).mapInArrow(_score(model), "file_path string, foreign double, mangled double")
+    slots = templates(wide)
+    named = (
+        wide.join(slots.withColumnsRenamed({"slot": "tail", "listed": "tail_listed"}), "tail", "left")
+        .join(slots.withColumnsRenamed({"slot": "head", "listed": "head_listed"}), "head", "left")
     )
+    built = build_folders(wide).withColumn("built", F.lit(True))
+    return named.join(scored, "file_path").join(built, "file_path", "left").select(
+        "file_path", "size", "larger", (F.col("foreign") + F.col("prior")).alias("foreign"), "mangled",
+        (F.col("longer") + F.greatest(F.col("mangled"), F.lit(0.0))).alias("minified"), F.coalesce("tail_listed", "head_listed").alias("template"),
+        F.when(F.col("tail_listed").isNotNull(), F.col("tail")).otherwise(F.col("head")).alias("slot"), F.coalesce("built", F.lit(False)).alias("built"),
+    )
+
 
-    store = F.exists(F.slice("segs", 1, F.size("segs") - 1), lambda s: s.isin(STORES))
-    a_line = F.col("size") / F.greatest(F.col("lines"), F.lit(1.0))
-    hashed = F.lower("name").rlike(MINIFIED_NAME)
-    affix = F.lower("name").rlike(SECOND_EXTENSION) | F.lower("name").rlike(AFFIX)
-    mangled = (a_line >= MINIFIED_BYTES_A_LINE) & (F.col("size") >= 2 * MINIFIED_BYTES_A_LINE)
-    template = affix & ~F.coalesce("only_foreign", F.lit(True))
+def classify(manifest: DataFrame) -> DataFrame:
+    """file_path, kind of each file that isn't hand-written: vendored, generated, minified or data.
+
+    Rows without a path are ignored; a missing size or line count only removes the evidence that needs
+    it; rows of one file, repeated or of several snapshots, are averaged. An empty table gives no rows
+    and further columns are not read. Paths and names count whole, however long.
+    """
+    e = evidence(manifest)
+    mark = F.regexp_replace("slot", r"[._-]", "")
+    # a template that no list knows tells of a file only if that is large itself
+    template = F.col("template") | (F.col("template").isNotNull() & (F.col("larger") >= TEMPLATE_BITS))
     kind = (
-        F.when(store | F.coalesce("foreign", F.lit(False)), "vendored")
-        .when(F.col("lower").rlike(f"^({package}){BUILD_DIRS}") | F.col("lower").rlike(BUILD_DIRS_ANYWHERE) | template, "generated")
-        .when(hashed, "minified")
-        .when(F.col("size") >= DATA_BYTES, F.when(mangled & (F.col("size") < 2 * DATA_BYTES), "minified").otherwise("data"))
-        .when(mangled, "minified")
+        F.when(F.col("foreign") >= FOREIGN_BITS, "vendored")
+        .when(F.col("built"), "generated")
+        .when((F.col("minified") >= MINIFIED_BITS) & (F.col("size") >= MINIFIED_LEAST) & (F.col("larger") < DATA_BITS + 1), "minified")
+        .when(F.col("larger") >= DATA_BITS, "data")
+        .when(template, F.when(mark.isin(MINIFIED_MARKS), "minified").otherwise("generated"))
     )
-    return files.join(evidence, "file_path", "left").select("file_path", kind.alias("kind")).filter("kind is not null")
+    return e.select("file_path", kind.alias("kind")).filter("kind is not null")

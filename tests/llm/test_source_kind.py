@@ -1,7 +1,9 @@
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from linkloom.llm import queries
-from linkloom.llm.source_kind import classify, cross_entropy, identifier_model, manifest_files
+from linkloom.llm.source_kind import NameModel, classify, evidence, manifest_files, name_model
 
 SCHEMA = "file_path string, language string, size long, lines long"
 WORDS = "journal column token cursor ledger header window snapshot relation marker".split()
@@ -53,10 +55,30 @@ def test_nulls_repeats_and_empty(spark):
     assert classify(df).count() == 0
 
 
-def test_model_finds_foreign_names_improbable(spark):
-    names = spark.createDataFrame([("rust", w) for w in WORDS * 5], "language string, piece string")
-    bits = {r.piece: r.bits for r in cross_entropy(spark.createDataFrame([("rust", w) for w in ["journal", "cursor", "xq7fzz", "bravhoum"]], "language string, piece string"), identifier_model(names)).collect()}
-    assert max(bits["journal"], bits["cursor"]) + 2 < min(bits["xq7fzz"], bits["bravhoum"])
+def test_model_finds_foreign_and_mangled_names_improbable(spark):
+    files = spark.createDataFrame([(f"src/{w}_{v}.rs", "rust") for w in WORDS for v in WORDS], "file_path string, language string")
+    model = name_model(files)
+    whole, worst = model.excess("rust", pa.array(["journal", "cursorToken", "xq7fzz", "bravhoum", "chunk-ebe3ccfb", "größe", "", None]))
+    assert max(whole[:2]) + 2 < min(whole[2:4])
+    assert worst[4] > 2.5 and worst[0] < 1 and list(worst[5:]) == [0, 0, 0]
+    assert isinstance(model, NameModel) and abs(NameModel(pd.DataFrame({"language": [], "gram": [], "n": []})).usual["rust"]) == 0
+
+
+def test_no_list_decides_alone(spark):
+    p = "packages/own-app"
+    # a template that no list has, all large; names with a listed mark, none large; a vendor folder with own words
+    rows = plain() + [(f"{p}/src/{a}_{b}_matrix.rs", "rust", 90_000, 2500) for a in WORDS[:4] for b in WORDS[:4]]
+    rows += [(f"{p}/src/{a}_{b}.tab.ts", "typescript", 300, 12) for a in WORDS for b in WORDS[:4]] + [(f"{p}/src/external/{w}/column.ts", "typescript", 900, 30) for w in WORDS]
+    # a mangled name needs shorter lines to be minified
+    rows += [(f"{p}/src/q7zx9vkw.js", "javascript", 90_000, 150), (f"{p}/src/journal.js", "javascript", 90_000, 150)] + [(f"{p}/src/{a}_{b}.js", "javascript", 3000, 90) for a in WORDS for b in WORDS]
+    got = kinds(spark, rows)
+    assert got == {f"{p}/src/{a}_{b}_matrix.rs": "generated" for a in WORDS[:4] for b in WORDS[:4]} | {f"{p}/src/q7zx9vkw.js": "minified"}
+
+
+def test_every_file_has_one_row_of_evidence(spark, sf):
+    manifest = spark.read.parquet(f"{sf}/file_manifest.parquet")
+    rows = evidence(manifest)
+    assert rows.count() == rows.select("file_path").distinct().count() == manifest_files(manifest).count()
 
 
 def test_given_data(spark, sf):
