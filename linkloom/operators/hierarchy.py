@@ -4,8 +4,9 @@ Parent chains are contracted inside each partition: every node learns the top of
 the exit (the parent of that top, which lives elsewhere). Only the tops go on, as a smaller quotient
 forest with weighted links, which is solved the same way until it fits one task; its answers are then
 joined back, level by level. Chains that end in a root are solved where they are, and no root goes on,
-so that the quotient has no more nodes than there are links between partitions. A chain that runs into
-itself, in a partition or only in the quotient, is a cycle.
+so that the quotient has no more nodes than there are links between partitions. Leaves of a quotient
+wait for their parents, whatever their number. A chain that runs into itself, in a partition or only in
+the quotient, is a cycle.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from linkloom.session import cut
 
-#: Nodes that one task contracts. A forest up to this size is solved in one task.
+#: Nodes that one task contracts. A quotient up to this size is solved in one task.
 NODES_PER_TASK = 100_000
+#: Children from which a node is a hub: they are not sent to it, but stay spread over the partitions.
+HUB = 1_000
 
 _CHAIN = "node string, top string, steps bigint, exit string, weight bigint, state int, chain array<string>, below array<string>, goal string"
 
@@ -60,36 +63,51 @@ def _contract(with_path: bool):
     return run
 
 
-def _solve(nodes: DataFrame, level: int, with_path: bool, per_task: int) -> DataFrame:
+def _placed(nodes: DataFrame, level: int, parts: int, hub: int) -> DataFrame:
+    if level == 0:
+        # ids of one package sort together, and most parents are in the package of the child
+        return nodes.repartitionByRange(parts, "node")
+    # no locality is left to hope for: a coin for each node sends tails to the heads above them, so that
+    # about a quarter of the links goes at each level, whatever the ids are; the children of a hub stay apart
+    heads = lambda c: F.pmod(F.xxhash64(F.lit(level), c), F.lit(2)) == 0
+    hubs = nodes.groupBy("parent").agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("parent", F.lit(True).alias("hub"))
+    known = nodes.join(F.broadcast(hubs), "parent", "left")  # fewer than a row for each `hub` nodes
+    at = F.when(heads(F.col("parent")) & ~heads(F.col("node")) & F.col("hub").isNull(), F.col("parent")).otherwise(F.col("node"))
+    return known.withColumn("at", at).repartition(parts, "at").drop("at", "hub")
+
+
+def _solve(nodes: DataFrame, level: int, with_path: bool, per_task: int, hub: int) -> DataFrame:
     """nodes (node, parent, weight, chain, root), cut, to (node, root, depth, state, path). Those without
     a parent have a root, with the weight and the chain from there; the others have none."""
-    parts = max(1, -(-nodes.count() // per_task))
-    if parts == 1:
-        placed = nodes.coalesce(1)
-    elif level == 0:
-        # ids of one package sort together, and most parents are in the package of the child
-        placed = nodes.repartitionByRange(parts, "node")
-    else:
-        # no locality is left to hope for: a coin for each node sends tails to the heads above them,
-        # so that about a quarter of the links is contracted at every level, whatever the ids are
-        heads = lambda c: F.pmod(F.xxhash64(F.lit(level), c), F.lit(2)) == 0
-        at = F.when(heads(F.col("parent")) & ~heads(F.col("node")), F.col("parent")).otherwise(F.col("node"))
-        placed = nodes.withColumn("at", at).repartition(parts, "at").drop("at")
+    parts = -(-nodes.count() // per_task)
+    last = level > 0 and parts <= 1
+    if level == 0:
+        parts = max(parts, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = nodes.coalesce(1) if last else _placed(nodes, level, parts, hub)
     local = cut(placed.mapInPandas(_contract(with_path), _CHAIN))
-    if parts == 1:
+    if last:
         return local.select("node", F.col("goal").alias("root"), F.col("steps").alias("depth"), "state", F.col("below").alias("path"))
     out = local.select(F.col("node").alias("exit"), F.col("top").alias("exit_top"), F.col("steps").alias("exit_steps"), F.col("state").alias("exit_state"), F.col("below").alias("exit_below"), F.col("goal").alias("exit_goal"))
     joined = local.filter("node = top and goal is null").select("node", "exit", "weight", "chain").join(out, "exit", "left")
     # below a local cycle: its own parent, hence a cycle of the quotient too
     lost = F.coalesce(F.col("exit_state") == 1, F.lit(False))
-    quotient = joined.select(
+    quotient = cut(joined.select(
         "node",
         F.when(lost, F.col("node")).when(F.col("exit_goal").isNull(), F.col("exit_top")).alias("parent"),
         (F.col("weight") + F.coalesce("exit_steps", F.lit(0))).alias("weight"),
         F.concat("exit_below", "chain").alias("chain"),
         F.col("exit_goal").alias("root"),
-    )
-    solved = _solve(cut(quotient), level + 1, with_path, per_task).withColumnsRenamed({"node": "top", "state": "top_state"})
+    ))
+    # a leaf of the quotient needs nothing but the answer of its parent
+    inner = quotient.join(quotient.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
+    leaves = quotient.join(inner.select("node"), "node", "left_anti")
+    solved = _solve(cut(inner), level + 1, with_path, per_task, hub)
+    above = solved.withColumnsRenamed({"node": "parent", "root": "above_root", "state": "above_state", "path": "above_path"})
+    hung = leaves.join(above, "parent", "left").select(
+        "node", F.coalesce("root", "above_root").alias("root"), (F.coalesce("depth", F.lit(0)) + F.col("weight")).alias("depth"),
+        F.coalesce("above_state", F.lit(0)).alias("state"), F.when(F.col("parent").isNull(), F.col("chain")).otherwise(F.concat("above_path", "chain")).alias("path"),
+    )
+    solved = solved.unionByName(hung).withColumnsRenamed({"node": "top", "state": "top_state"})
     own = F.col("goal").isNotNull() | (F.col("state") == 1)
     either = lambda here, above: F.when(own, here).otherwise(above)
     return local.join(solved, "top", "left").select(
@@ -101,7 +119,7 @@ def _solve(nodes: DataFrame, level: int, with_path: bool, per_task: int) -> Data
     )
 
 
-def hierarchy(links: DataFrame, child: str = "target_id", parent: str = "source_id", with_path: bool = False, per_task: int = NODES_PER_TASK) -> DataFrame:
+def hierarchy(links: DataFrame, child: str = "target_id", parent: str = "source_id", with_path: bool = False, per_task: int = NODES_PER_TASK, hub: int = HUB) -> DataFrame:
     """One row (node_id, root_id, depth, path) for each id at either end of a link.
 
     ``path`` lists the ids from the root to the node itself, or is null without ``with_path``. A node
@@ -115,7 +133,7 @@ def hierarchy(links: DataFrame, child: str = "target_id", parent: str = "source_
     chain = F.array("node") if with_path else F.lit(None).cast("array<string>")
     start = cut(nodes.select("node", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("weight"), chain.alias("chain"), F.when(F.col("parent").isNull(), F.col("node")).alias("root")))
     bad = F.col("state") == 1
-    return _solve(start, 0, with_path, per_task).select(
+    return _solve(start, 0, with_path, per_task, hub).select(
         F.col("node").alias("node_id"),
         F.when(bad, F.lit("")).otherwise(F.col("root")).alias("root_id"),
         F.when(bad, F.lit(-1)).otherwise(F.col("depth")).cast("int").alias("depth"),

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.operators import hierarchy as H
 from linkloom.operators.hierarchy import descendants, hierarchy
@@ -21,9 +22,9 @@ def brute(links):
     return out
 
 
-def solved(spark, links, per_task):
+def solved(spark, links, per_task, hub=H.HUB):
     df = spark.createDataFrame(links, "source_id string, target_id string")
-    return {r.node_id: (r.root_id, r.depth, r.path) for r in hierarchy(df, with_path=True, per_task=per_task).collect()}
+    return {r.node_id: (r.root_id, r.depth, r.path) for r in hierarchy(df, with_path=True, per_task=per_task, hub=hub).collect()}
 
 
 @pytest.mark.parametrize("per_task", [1000, 40, 9])
@@ -65,3 +66,20 @@ def test_more_roots_than_one_task_holds(spark, monkeypatch, per_task):
     names = [f"n{i:03}" for i in rng.sample(range(160), 160)]
     links = [(names[i], names[i + 50]) for i in range(50)] + [(names[50 + i], names[100 + i]) for i in range(40)] + [(names[140], names[141]), (names[141], names[140]), (names[141], names[142])]
     assert solved(spark, links, per_task) == brute(links)
+
+
+@pytest.mark.parametrize("hub", [5, 1000])
+def test_hubs_below_hubs(spark, hub):
+    rng = random.Random(9)
+    # three hubs in a chain, their children with children of their own
+    links = [("root", "hub0"), ("hub0", "mid"), ("mid", "hub1"), ("hub1", "hub2")]
+    links += [(f"hub{rng.randrange(3)}", f"c{i:03}") for i in rng.sample(range(150), 150)] + [(f"c{rng.randrange(150):03}", f"d{i:03}") for i in range(60)]
+    assert solved(spark, links, 12, hub) == brute(links)
+
+
+def test_children_of_a_hub_stay_spread(spark):
+    parts, leaves = 8, 4000
+    df = spark.createDataFrame([("root", "hub", 1), *[("hub", f"c{i}", 1) for i in range(leaves)]], "parent string, node string, weight long")
+    for level in (1, 2, 3):
+        sizes = H._placed(df, level, parts, 1000).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert max(r["count"] for r in sizes) < 3 * leaves / parts
