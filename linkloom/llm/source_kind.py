@@ -225,10 +225,10 @@ def evidence(manifest: DataFrame) -> DataFrame:
     folder = F.when(last > 0, F.get(segments, last))
     prior = F.when(F.get(segments, last - 1).isin(STORES), STORE_PRIOR).otherwise(VENDOR_PRIOR)
     version = F.when(folder.rlike(r"-\d+(\.\d+)+$"), VERSION_PRIOR).otherwise(0.0)
-    wide = files.withColumn("lower", F.lower("file_path")).join(F.broadcast(usual), "language").select(
+    wide = cut(files.withColumn("lower", F.lower("file_path")).join(F.broadcast(usual), "language").select(
         "file_path", "language", "lower", "size", "lines", F.coalesce(size - F.col("usual_size"), F.lit(0.0)).alias("larger"), (a_line - F.col("usual_line")).alias("longer"),
         F.regexp_replace(folder, r"-\d+(\.\d+)+$", "").alias("folder"), F.when(last > 0, prior + version).alias("prior"), _slot("tail").alias("tail"), _slot("head").alias("head"),
-    )
+    ))
     scored = wide.select("file_path", "language", _stem().alias("stem"), F.coalesce("folder", F.lit("")).alias("folder")).mapInArrow(_score(model), "file_path string, foreign double, mangled double")
     slots = templates(wide)
     named = (
