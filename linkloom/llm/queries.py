@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.documentation import pairs
+from linkloom.llm.documentation import found_ids, pairs
 from linkloom.llm.encoding import decode, encode
 from linkloom.llm.leaks import leaked_pairs, leaks, removal_spans
 from linkloom.llm.mojibake import garbled, restored
@@ -22,7 +22,7 @@ def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(table(spark, d, "nodes"), table(spark, d, "source_files")).select("node_id").distinct()
+    return found_ids(table(spark, d, "nodes"), table(spark, d, "source_files"))
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:

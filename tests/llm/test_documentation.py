@@ -84,3 +84,25 @@ def test_comment_marks(spark):
 def test_given_data(spark, sf):
     rows = queries.p5_found(spark, sf)
     assert rows.columns == ["node_id"] and rows.count() == rows.distinct().count() > 0
+
+
+def test_nothing_is_too_long_for_the_lexer(spark):
+    remark = "\n".join(f"// Explains step {i} of the merge." for i in range(900))
+    hard = 'let a = "' + r"\"(((" * 600 + '";'
+    text = f"{remark}\nfn merge() {{\n  {hard}\n}}\n/// Keeps the younger of two pages.\nfn keep() {{}}\nlet b = 1; // ends the line above\n// Drops every third page.\nfn drop() {{}}\n"
+    js = "const a = `" + "\\`{" * 900 + "`;\n// Folds all pages of a book.\nfunction fold(p) {\n  return p;\n}\n"
+    nodes = [("merge", "merge", "a.rs", 901, 903, None), ("keep", "keep", "a.rs", 905, 905, None), ("drop", "drop", "a.rs", 908, 908, None), ("fold", "fold", "b.js", 3, 5, None)]
+    got = found(spark, nodes, (("a.rs", "rust", text), ("b.js", "javascript", js)))
+    assert len(got["merge"][0].split("\n")) == 900
+    assert {k: v[0] for k, v in got.items() if k != "merge"} == {"keep": "Keeps the younger of two pages.", "drop": "Drops every third page.", "fold": "Folds all pages of a book."}
+
+
+def test_a_function_ends_where_its_block_does(spark):
+    text = "/// Counts the pages of a book.\nfn count(a: u32,\n    b: u32) -> u32 {\n  if a > b { return a; }\n  let s = \"}\"; // }\n  match a { _ => {} }\n}\nfn other() {}\n"
+    got = found(spark, [("count", "count", "a.rs", 2, 3, None)], (("a.rs", "rust", text),))
+    assert got["count"][1] == "\n".join(text.split("\n")[1:7])
+
+
+def test_escapes_come_back_as_they_were(spark):
+    text = '// Reads "\\\\" and \\" as one sign, \\n as two.\nfn read() {}\n'
+    assert found(spark, [("read", "read", "a.rs", 2, 2, None)], (("a.rs", "rust", text),))["read"][0] == 'Reads "\\\\" and \\" as one sign, \\n as two.'
