@@ -9,6 +9,8 @@ brackets of one depth follow each other in turn, so lead windows over a depth de
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,8 +164,20 @@ _CODE = (
 _FILLER = "the a an this that these it its function functions func fn method methods routine procedure helper to of for and or in on with is are does do will used simply just".split()
 
 
+#: Ends of words that go, in order: so tally, tallys and tallies are one word, as are split and splitting.
+_ENDINGS = [(r"(ing|ed|es|s|e)$", ""), (r"([b-df-hj-np-tv-xz])\1$", "1"), (r"(ie|y)$", "i")]
+
+
 def _stem(w: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(w, r"(ies|y)$", "i"), r"(ing|ed|es|s|e)$", "")
+    for ending, instead in _ENDINGS:
+        w = F.regexp_replace(w, ending, "$1" if instead == "1" else instead)
+    return w
+
+
+def _stem_of(word: str) -> str:
+    for ending, instead in _ENDINGS:
+        word = re.sub(ending, r"\1" if instead == "1" else instead, word)
+    return word
 
 
 def _name_words(c: Column) -> Column:
@@ -178,7 +192,7 @@ def is_trivial(doc: Column, name: Column) -> Column:
     kept = F.filter(lines, lambda x: ~(x.rlike(_PLACEHOLDER) | x.rlike(_REFERENCE) | x.rlike(_DIRECTIVE) | x.rlike(_REGION) | x.rlike(_SECTION) | x.rlike(_CODE)))
     texts = F.transform(kept, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, _TAG_LINE, " "), r"^\s*" + _BARE_TAG + r"\s*$|\{@\w+[^}]*\}", " "), r"^\s*[\w*]+( \([\w, ]+\))?:\s*$", " "))
     rest = F.array_join(texts, " ")
-    words = F.filter(_name_words(rest), lambda w: ~w.isin([*_FILLER, *[f.rstrip("e").rstrip("s") for f in _FILLER]]))
+    words = F.filter(_name_words(rest), lambda w: ~w.isin([*_FILLER, *map(_stem_of, _FILLER)]))
     known = _name_words(name)
     return F.coalesce(~rest.rlike(r"[\p{L}\p{N}]") | (F.size(F.array_except(words, known)) == 0), F.lit(True))
 

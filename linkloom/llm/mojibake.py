@@ -27,6 +27,8 @@ DEPTH = 5
 #: else, which hardly arises by chance, and for one 8-bit encoding read as another.
 UTF8_BITS, UTF8_SHARE = 7.0, 0.05
 SINGLE_BITS, SINGLE_SHARE, SINGLE_SIGNS = 18.0, 0.08, 6
+#: Bits by which a state may be dearer than the cheapest one, or than the one it comes from.
+SLACK_BITS = 24.0
 #: Bits a pair above what is usual for its script, from which swaps of 8-bit encodings are tried.
 ODD_BITS = 2.0
 #: Share of a word's and of a line's signs above ASCII that must be UTF-8 sequences; in alphabets that
@@ -49,6 +51,9 @@ _FOREIGN = re.compile("[\u0530-\u0fff\u1e00-\u1fff]{3,}")
 _LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])|\?\?+(?=[^\W\d_])|(?<=[^\W\d_])\?\?+(?=\s[^\W\d_])")
 # neighbouring words of which nothing is left
 _LOST_WORDS = re.compile(r"(?<!\S)\?{2,}(?:[ \t,.;:]+\?{2,})+(?!\w)")
+# signs above ASCII that are spelled out, as numbers or names
+_ESCAPE = re.compile(r"&#(?:1[2-9]\d|[2-9]\d\d|\d{4,7});|&#[xX][0-9a-fA-F]{2,6};|&[A-Za-z]{3,8}\d?;|\\u[0-9a-fA-F]{4}|\\x[89a-fA-F][0-9a-fA-F]")
+_CODED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([89a-fA-F][0-9a-fA-F])")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _WIDE = re.compile("[　-鿿가-힯｡-ﾟ]")
 _HIGH_WORD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*[^\x00-\x7f][^ \t\r\n]*")
@@ -80,33 +85,30 @@ class _Codecs:
                     same = {c: self.tables[true][b] for c, b in self.bytes[read].items()}
                     if any(chr(c) != x for c, x in same.items()):
                         self.pairs[read, true] = same
-        # first bytes of the signs that texts hold; where a code page has letters of common words or
-        # everyday punctuation in their place, fewer of them start a search
-        two, more = [*range(0xC2, 0xC6), 0xC8, 0xCE, 0xCF, *range(0xD0, 0xD3), *range(0xD6, 0xDC)], [*range(0xE0, 0xF1)]
-        letters = {0xC2, 0xC3, 0xC4, 0xC5, 0xC8}
-        less = {"mac-roman": {0xC8, *range(0xD2, 0xD8)}, "cp866": {*more}, "cp737": {*more}, "koi8-r": letters, "koi8-u": letters}
+        # every first byte of a sequence starts a search; where a code page has everyday letters in the
+        # place of first and later bytes (all small ones), the second byte must be another sign
+        two, more = [*range(0xC2, 0xE0)], [*range(0xE0, 0xF5)]
+        small = {"cp866": range(0xA0, 0xB0), "cp737": range(0x98, 0xB0)}
         signs = lambda t, places: f"[{re.escape(''.join(t[b] for b in places))}]"
         starts = []
         # the same for whole batches: bits of the encodings in which a sign begins or goes on with a sequence
-        self.leads2, self.leads3, self.trails = (np.zeros(0x10000, np.uint32) for _ in range(3))
+        self.leads2, self.leads3, self.seconds, self.trails = (np.zeros(0x10000, np.uint32) for _ in range(4))
         for k, e in enumerate(SINGLE):
-            t, after = self.tables[e], signs(self.tables[e], range(0x80, 0xC0))
-            self.trails[[ord(t[b]) for b in range(0x80, 0xC0)]] |= np.uint32(1 << k)
-            for mask, lead in ((self.leads2, two), (self.leads3, more)):
-                mask[[ord(t[b]) for b in lead if b not in less.get(e, ())]] |= np.uint32(1 << k)
-            for lead, rest in ((two, after), (more, after * 2)):
-                if lead := [b for b in lead if b not in less.get(e, ())]:
-                    starts.append(signs(t, lead) + rest)
+            t, after = self.tables[e], range(0x80, 0xC0)
+            second = [b for b in after if b not in small.get(e, ())]
+            for mask, places in ((self.trails, after), (self.seconds, second), (self.leads2, two), (self.leads3, more)):
+                mask[[ord(t[b]) for b in places]] |= np.uint32(1 << k)
+            starts += [signs(t, two) + signs(t, after), signs(t, more) + signs(t, second) + signs(t, after)]
         self.gate = re.compile("|".join(dict.fromkeys(starts)))
 
     def worth_a_look(self, texts: list[str]) -> np.ndarray:
-        """True for texts with a possible start of UTF-8 read as something else, or East Asian signs."""
+        """True for texts with a possible start of UTF-8 read as something else, East Asian signs or escapes."""
         signs = np.frombuffer(("\n".join(texts) + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         plane = np.where(signs < 0x10000, signs, 0).astype(np.int64)
         a, b, c = plane[:-2], plane[1:-1], plane[2:]
-        hit = (self.leads2[a] & self.trails[b]) | (self.leads3[a] & self.trails[b] & self.trails[c]) | ((a >= 0x3000) & (a < 0xD7A4)) | ((a > 0xFF60) & (a < 0xFFA0))
+        hit = (self.leads2[a] & self.trails[b]) | (self.leads3[a] & self.seconds[b] & self.trails[c]) | ((a >= 0x3000) & (a < 0xD7A4)) | ((a > 0xFF60) & (a < 0xFFA0))
         line = np.cumsum(signs == 10) - (signs == 10)
-        return np.bincount(line[:-2][hit > 0], minlength=len(texts))[: len(texts)] > 0
+        return (np.bincount(line[:-2][hit > 0], minlength=len(texts))[: len(texts)] > 0) | np.array([_ESCAPE.search(x) is not None for x in texts])
 
     def utf8(self, text: str, encoding: str, size: int) -> str | None:
         """Bytes of ``encoding`` read as UTF-8, in words that are mostly such sequences."""
@@ -255,40 +257,64 @@ class _Model:
         return np.bincount(line, bits, minlength=n)[:n], excess
 
 
+def _unescaped(text: str) -> Iterator[str]:
+    """The states one unescape step away: entities, or signs coded by number."""
+    if "&" in text:
+        yield html.unescape(text)
+    if "\\" in text:
+        coded = _CODED.sub(lambda m: chr(int(m[1] or m[2], 16)), text)
+        yield coded.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # two halves are one sign
+
+
+def _changed(old: str, new: str) -> tuple[str, str]:
+    """The words that differ, so that a line is judged by what a step changed and not by its length."""
+    a, b = old.split(" "), new.split(" ")
+    if len(a) != len(b):
+        return old, new
+    pairs = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
+    return " ".join(x for x, _ in pairs), " ".join(y for _, y in pairs)
+
+
 def _odd(text: str, excess: float) -> bool:
     return excess >= ODD_BITS and sum(map(len, _HIGH.findall(text))) >= SINGLE_SIGNS
 
 
 def _search(text: str, coders: _Codecs, model: _Model) -> tuple[str, bool]:
-    """The cheapest reachable text, and whether it is so much cheaper that the given one is garbled."""
+    """The cheapest reachable text, and whether it is so much cheaper that the given one is garbled.
+
+    States up to SLACK_BITS dearer than the cheapest one are expanded too, so the way may lead uphill.
+    """
     (start,), (excess,) = model.of([text])
     best, best_cost = text, float(start)
-    # of one state, the steps by UTF-8 come before the swaps, of which one is allowed on a path
+    # of one state, the steps by UTF-8 come before the swaps, of which one is allowed on a path;
+    # what was only unescaped is no restored text, but what a step makes of it is
     heap, seen = [(best_cost, 0, 0, text, False, float(excess))], {text}
     while heap:
         cost, swap, depth, state, swapped, excess = heapq.heappop(heap)
-        if depth >= DEPTH or cost > best_cost:
+        if depth >= DEPTH or cost > best_cost + SLACK_BITS:
             break
         if not swap and not swapped and _odd(state, excess):
             heapq.heappush(heap, (cost, 1, depth, state, swapped, excess))
-        if not swap and not coders.gate.search(state) and not _WIDE.search(state) and "&" not in state:
+        plain = [] if swap else list(_unescaped(state))
+        if not swap and not coders.gate.search(state) and not _WIDE.search(state) and not plain:
             continue
-        new = [s for s in coders.steps(state, bool(swap)) if s not in seen]
-        if depth and "&" in state:
-            new.append(html.unescape(state))
-        new = list(dict.fromkeys(s for s in new if s not in seen))
+        new = {s: True for s in coders.steps(state, bool(swap))} | {s: False for s in plain}
+        new = {s: step for s, step in new.items() if s not in seen}
         if not new:
             continue
         seen.update(new)
         swapped = swapped or bool(swap)
         need, share = (SINGLE_BITS, SINGLE_SHARE) if swapped else (UTF8_BITS, UTF8_SHARE)
-        bits, excesses = model.of(new)
-        for s, c, x in zip(new, bits.tolist(), excesses.tolist(), strict=True):
-            if c < best_cost and start - c >= max(need, share * start):
-                best, best_cost = s, c
-            if c < cost:
+        bits, excesses = model.of(list(new))
+        for (s, step), c, x in zip(new.items(), bits.tolist(), excesses.tolist(), strict=True):
+            if step and c < best_cost:
+                # bits that a step saves in the words that changed; a text in escapes has cost nothing so far
+                before, after = (float(v) for v in model.of(list(_changed(state if start < c else text, s)))[0])
+                if before - after >= max(need, share * before):
+                    best, best_cost = s, c
+            if c < cost + SLACK_BITS or not step:
                 heapq.heappush(heap, (c, 0, depth + 1, s, swapped, x))
-    return best, best_cost < start
+    return best, best != text
 
 
 def _marks(text: str) -> bool:

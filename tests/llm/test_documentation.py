@@ -69,6 +69,11 @@ def test_what_is_trivial(spark, docs, trivial):
     assert [r.doc for r in got if r.t != trivial] == []
 
 
+def test_other_forms_of_a_word_say_nothing_new(spark):
+    df = spark.createDataFrame([("Tallys the split.",), ("Splitting of tallies.",), ("This function tallied splits.",), ("Tallys what was split twice.",)], "doc string")
+    assert [r.t for r in df.select(is_trivial(F.col("doc"), F.lit("tallySplit")).alias("t")).collect()] == [True, True, True, False]
+
+
 def test_long_files_and_clashing_columns(spark):
     text = "// x\n" * 3000 + "/* " + "y" * 100_000 + " */\nfn f() { let s = \"" + "\\\"" * 3000 + "\"; }\n"
     df = spark.createDataFrame([("n", "METHOD", "f", "a.rs", 3002, 3002, None)], NODE).withColumns({"text": F.lit(1), "line": F.lit(1), "code": F.lit("c")})
