@@ -27,13 +27,15 @@ DEPTH = 5
 #: else, which hardly arises by chance, and for one 8-bit encoding read as another.
 UTF8_BITS, UTF8_SHARE = 7.0, 0.05
 SINGLE_BITS, SINGLE_SHARE, SINGLE_SIGNS = 18.0, 0.08, 6
-#: Bits by which a state may be dearer than the cheapest one, or than the one it comes from.
+#: Bits by which a state may be dearer than the cheapest one.
 SLACK_BITS = 24.0
 #: Bits a pair above what is usual for its script, from which swaps of 8-bit encodings are tried.
 ODD_BITS = 2.0
 #: Share of a word's and of a line's signs above ASCII that must be UTF-8 sequences; in alphabets that
-#: are not Latin such signs stand side by side in any text, so nearly all must.
-LATIN_SHARES, OTHER_SHARES = (0.51, 0.0), (0.85, 0.8)
+#: are not Latin such signs stand side by side in any text, so nearly all of a word must.
+LATIN_SHARES, OTHER_SHARES = (0.51, 0.0), (0.85, 0.0)
+#: In these code pages small letters are parts of sequences, so most signs of the line must be in some.
+DENSE, DENSE_SHARE = ("cp866", "cp737"), 0.8
 _CHARGE = 22.0  # bits of a control character or replacement mark
 
 # Encodings that texts are read in by mistake.
@@ -45,15 +47,15 @@ _QUOTED = re.compile(r"`[^`\n]{1,40}`|[\"'][^\x00-\x7f]{1,4}[\"']")
 _SEQUENCE = re.compile(b"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _OTHER = {"cp1251", "cp1253", "iso8859-7", "cp866", "koi8-r", "koi8-u", "mac-cyrillic", "iso8859-5", "cp737"}
 # signs that a text may hold; scripts of which a few bytes give single signs by chance are left out
-_USUAL = re.compile("[\x00-\x7f\xa0-\u017f\u0192\u0218-\u021b\u02c6-\u02dd\u0300-\u0345\u0370-\u045f\u0490-\u0491\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u2190-\u22ff\u2300-\u23ff\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufb01-\ufb02\ufe0f\uff00-\uffef\U0001f000-\U0001faff\U0001d400-\U0001d7ff\U00020000-\U0002ffff\ufeff\x80-\x9f]*")
+_USUAL = re.compile("[\x00-\x7f\xa0-\u02af\u02c6-\u02dd\u0300-\u0345\u0370-\u045f\u0490-\u0491\u1e00-\u1eff\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u2190-\u22ff\u2300-\u23ff\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufb01-\ufb02\ufe0f\uff00-\uffef\U0001f000-\U0001faff\U0001d400-\U0001d7ff\U00020000-\U0002ffff\ufeff\x80-\x9f]*")
 _MIXED = re.compile("[\u3041-\u9fff\uac00-\ud7a3](?=[\u00c0-\u052f])|[\u00c0-\u052f](?=[\u3041-\u9fff\uac00-\ud7a3])")
-_FOREIGN = re.compile("[\u0530-\u0fff\u1e00-\u1fff]{3,}")
+_FOREIGN = re.compile("[\u0530-\u0fff\u1f00-\u1fff]{3,}")
 _LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])|\?\?+(?=[^\W\d_])|(?<=[^\W\d_])\?\?+(?=\s[^\W\d_])")
 # neighbouring words of which nothing is left
 _LOST_WORDS = re.compile(r"(?<!\S)\?{2,}(?:[ \t,.;:]+\?{2,})+(?!\w)")
 # signs above ASCII that are spelled out, as numbers or names
-_ESCAPE = re.compile(r"&#(?:1[2-9]\d|[2-9]\d\d|\d{4,7});|&#[xX][0-9a-fA-F]{2,6};|&[A-Za-z]{3,8}\d?;|\\u[0-9a-fA-F]{4}|\\x[89a-fA-F][0-9a-fA-F]")
-_CODED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([89a-fA-F][0-9a-fA-F])")
+_ESCAPE = re.compile(r"&#(?:1[2-9]\d|[2-9]\d\d|\d{4,7});|&#[xX][0-9a-fA-F]{2,6};|&[A-Za-z]{3,8}\d?;|\\u[0-9a-fA-F]{4}")
+_CODED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _WIDE = re.compile("[　-鿿가-힯｡-ﾟ]")
 _HIGH_WORD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*[^\x00-\x7f][^ \t\r\n]*")
@@ -116,6 +118,7 @@ class _Codecs:
         t = codecs.charmap_encode(text, "replace", self.encoders[encoding])[0]
         found = list(_SEQUENCE.finditer(t))
         in_word, in_line = OTHER_SHARES if encoding in _OTHER else LATIN_SHARES
+        in_line = DENSE_SHARE if encoding in DENSE else in_line
         high = size * in_line
         if not found or sum(f.end() - f.start() for f in found) < high:
             return None
@@ -149,6 +152,8 @@ class _Codecs:
                 new = w.replace("�", "?").encode(encoding).decode("utf-8", "replace")
             except UnicodeError:
                 return w
+            if not any(ord(c) > 127 and c != "�" for c in new):
+                return w  # nothing but marks in another form
             if new.count("�") > 0.34 * len(new) + w.count("�") or len(new) >= len(w) and len(w) > 2:
                 return w
             changed = True
@@ -257,64 +262,67 @@ class _Model:
         return np.bincount(line, bits, minlength=n)[:n], excess
 
 
-def _unescaped(text: str) -> Iterator[str]:
-    """The states one unescape step away: entities, or signs coded by number."""
-    if "&" in text:
-        yield html.unescape(text)
-    if "\\" in text:
-        coded = _CODED.sub(lambda m: chr(int(m[1] or m[2], 16)), text)
-        yield coded.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # two halves are one sign
+def _unescaped(text: str) -> str:
+    """The state one unescape step away: entities, and signs coded by number."""
+    text = html.unescape(text) if "&" in text else text
+    if "\\u" in text:
+        coded = _CODED.sub(lambda m: chr(int(m[1], 16)), text)
+        text = coded.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # two halves are one sign
+    return text
 
 
-def _changed(old: str, new: str) -> tuple[str, str]:
-    """The words that differ, so that a line is judged by what a step changed and not by its length."""
+def _changed(old: str, new: str) -> list[str]:
+    """The words that differ, so that a line is judged by what was changed and not by its length."""
     a, b = old.split(" "), new.split(" ")
     if len(a) != len(b):
-        return old, new
+        return [old, new]
     pairs = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
-    return " ".join(x for x, _ in pairs), " ".join(y for _, y in pairs)
+    return [" ".join(x) for x in zip(*pairs, strict=True)] if pairs else ["", ""]
 
 
 def _odd(text: str, excess: float) -> bool:
     return excess >= ODD_BITS and sum(map(len, _HIGH.findall(text))) >= SINGLE_SIGNS
 
 
-def _search(text: str, coders: _Codecs, model: _Model) -> tuple[str, bool]:
-    """The cheapest reachable text, and whether it is so much cheaper that the given one is garbled.
-
-    States up to SLACK_BITS dearer than the cheapest one are expanded too, so the way may lead uphill.
-    """
-    (start,), (excess,) = model.of([text])
-    best, best_cost = text, float(start)
-    # of one state, the steps by UTF-8 come before the swaps, of which one is allowed on a path;
-    # what was only unescaped is no restored text, but what a step makes of it is
-    heap, seen = [(best_cost, 0, 0, text, False, float(excess))], {text}
+def _search(text: str, coders: _Codecs, model: _Model) -> str:
+    """The cheapest text that can be reached, if it is so much cheaper that the given one is garbled;
+    else the given one. States up to SLACK_BITS dearer than the cheapest one are expanded too, and the given
+    text by all its steps, so that a way may lead uphill and no early find hides a better one."""
+    # signs in escapes have cost nothing so far: what is measured is the text they spell out, but to spell
+    # them out restores nothing
+    plain = _unescaped(text)
+    costs, excesses = model.of([text, plain])
+    best, best_cost = text, float(costs[1])
+    # of one state, the steps by UTF-8 come before the swaps, of which one is allowed on a path
+    heap = [(float(costs[k]), 0, k, t, False, float(excesses[k])) for k, t in enumerate([text, plain] if plain != text else [text])]
+    seen = {text, plain}
     while heap:
         cost, swap, depth, state, swapped, excess = heapq.heappop(heap)
-        if depth >= DEPTH or cost > best_cost + SLACK_BITS:
-            break
+        if depth >= DEPTH or (depth and cost > best_cost + SLACK_BITS):
+            continue
         if not swap and not swapped and _odd(state, excess):
             heapq.heappush(heap, (cost, 1, depth, state, swapped, excess))
-        plain = [] if swap else list(_unescaped(state))
-        if not swap and not coders.gate.search(state) and not _WIDE.search(state) and not plain:
+        if not swap and not coders.gate.search(state) and not _WIDE.search(state) and "&" not in state:
             continue
-        new = {s: True for s in coders.steps(state, bool(swap))} | {s: False for s in plain}
-        new = {s: step for s, step in new.items() if s not in seen}
+        new = [s for s in coders.steps(state, bool(swap)) if s not in seen]
+        if not swap and "&" in state:
+            new.append(_unescaped(state))
+        new = list(dict.fromkeys(s for s in new if s not in seen))
         if not new:
             continue
         seen.update(new)
         swapped = swapped or bool(swap)
         need, share = (SINGLE_BITS, SINGLE_SHARE) if swapped else (UTF8_BITS, UTF8_SHARE)
-        bits, excesses = model.of(list(new))
-        for (s, step), c, x in zip(new.items(), bits.tolist(), excesses.tolist(), strict=True):
-            if step and c < best_cost:
-                # bits that a step saves in the words that changed; a text in escapes has cost nothing so far
-                before, after = (float(v) for v in model.of(list(_changed(state if start < c else text, s)))[0])
+        bits, excesses = model.of(new)
+        for s, c, x in zip(new, bits.tolist(), excesses.tolist(), strict=True):
+            if c < best_cost:
+                # a swap changes all signs above ASCII, the other steps may change a single word
+                before, after = (float(costs[1]), c) if swapped else model.of(_changed(plain, s))[0].tolist()
                 if before - after >= max(need, share * before):
                     best, best_cost = s, c
-            if c < cost + SLACK_BITS or not step:
+            if c < best_cost + SLACK_BITS:
                 heapq.heappush(heap, (c, 0, depth + 1, s, swapped, x))
-    return best, best != text
+    return best
 
 
 def _marks(text: str) -> bool:
@@ -322,6 +330,15 @@ def _marks(text: str) -> bool:
     return len(_LOST.findall(text)) >= 2 or any(m.count("?") >= 6 for m in _LOST_WORDS.findall(text))
 
 
+def _damaged(text: str) -> bool:
+    """Signs that belong to no text: what was lost in their place can't be restored by any step."""
+    return "\ufffd" in text or ("?" in text and _marks(text)) or bool(_CONTROL.search(text))
+
+
+def _is_example(quoted: str) -> bool:
+    return not quoted.isascii() or bool(_ESCAPE.search(quoted))
+
+
 def _repair(pairs: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coders, model = _Codecs(), _Model(pairs, counts)
@@ -334,18 +351,16 @@ def _repair(pairs: np.ndarray, counts: np.ndarray):
             look = coders.worth_a_look(bare)
             rows = []
             for i, (x, b) in enumerate(zip(lines, bare, strict=True)):
-                lost = "�" in b or ("?" in b and _marks(b)) or bool(_CONTROL.search(b))
-                worth = look[i] or _odd(b, excess[i])
-                if not lost and not worth:
+                if not (look[i] or _odd(b, excess[i]) or _damaged(b)):
                     continue
                 # what is quoted beyond ASCII is an example: it is taken out of the search and stays
-                quotes = [q for q in _QUOTED.findall(x) if not q.isascii()]
-                held = _QUOTED.sub(lambda m: m.group() if m.group().isascii() else "\x01", x) if quotes else x
-                fixed, better = _search(held, coders, model) if worth else (held, False)
-                fixed = re.sub("\x01", lambda _, q=iter(quotes): next(q), fixed)
-                if better or lost:
-                    left = not better or "�" in _QUOTED.sub(" ", fixed)
-                    rows.append((f["key"].iat[i], f["at"].iat[i], fixed if better else None, bool(left)))
+                quotes = [q for q in _QUOTED.findall(x) if _is_example(q)]
+                held = _QUOTED.sub(lambda m: "\x01" if _is_example(m.group()) else m.group(), x) if quotes else x
+                fixed = _search(held, coders, model)
+                left = _damaged(_QUOTED.sub(" ", fixed))
+                if fixed != held or left:
+                    whole = re.sub("\x01", lambda _, q=iter(quotes): next(q), fixed)
+                    rows.append((f["key"].iat[i], f["at"].iat[i], whole if fixed != held else None, left))
             yield pd.DataFrame(rows, columns=["key", "at", "fixed", "damaged"])
 
     return run
@@ -360,9 +375,10 @@ def garbled_lines(documents: DataFrame, key: str = "doc_id", text: str = "text")
     are searched whole; an empty table gives no rows.
     """
     lines = documents.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    # beyond signs above ASCII, all that _LOST and _LOST_WORDS may accept
+    # beyond signs above ASCII, all that _LOST and _LOST_WORDS may accept, and escapes
     marks = F.contains("line", F.lit("?")) & F.col("line").rlike(r"[A-Za-z]\?[A-Za-z]|\?\?")
-    lines = spread(lines.filter((F.octet_length("line") != F.char_length("line")) | marks))
+    escapes = (F.contains("line", F.lit("&")) | F.contains("line", F.lit("\\u"))) & F.col("line").rlike(_ESCAPE.pattern)
+    lines = spread(lines.filter((F.octet_length("line") != F.char_length("line")) | marks | escapes))
     counted = lines.select("line").mapInPandas(_count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     model = counted.toPandas()  # fewer than 2.9 million pairs, see _classes
     kind = dict(lines.dtypes)["key"]
@@ -373,9 +389,23 @@ def garbled(documents: DataFrame) -> DataFrame:
     return garbled_lines(documents).select("doc_id").distinct()
 
 
+def _mended(key: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            texts = []
+            for text, at, fixed in zip(f["text"], f["at"], f["fixed"], strict=True):
+                lines = text.split("\n")
+                for i, line in zip(at, fixed, strict=True):
+                    lines[i] = line
+                texts.append("\n".join(lines))
+            yield pd.DataFrame({key: f[key], "text": texts, "damaged": f["damaged"]})
+
+    return run
+
+
 def restored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, damaged) of the affected documents, with every line that could be restored."""
     lines = garbled_lines(documents, key, text)
-    fixes = lines.groupBy(key).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("at", "fixed")))).alias("fixes"), F.max("damaged").alias("damaged"))
-    whole = documents.select(key, F.split(text, "\n").alias("lines")).join(fixes, key)
-    return whole.select(key, F.array_join(F.transform("lines", lambda x, i: F.coalesce(F.element_at("fixes", i), x)), "\n").alias("text"), "damaged")
+    fixes = lines.groupBy(key).agg(F.collect_set(F.when(F.col("fixed").isNotNull(), F.struct("at", "fixed"))).alias("fixes"), F.max("damaged").alias("damaged"))
+    whole = documents.select(key, F.col(text).alias("text")).join(fixes, key).select(key, "text", F.col("fixes.at").alias("at"), F.col("fixes.fixed").alias("fixed"), "damaged")
+    return whole.mapInPandas(_mended(key), whole.select(key, "text", "damaged").schema)

@@ -67,3 +67,29 @@ def test_lines_of_which_only_question_marks_are_left(spark):
     kept = ["Why? Really??", "a ?? b ?? c", "x?.y ?? z?.w", "What is this???", "unknown: ??? (see above)", "GET /a?b=1", "`?????? ???` is what a reader sees", "?? ??"]
     found, _ = run(spark, lost + kept)
     assert found == set(range(len(lost)))
+
+
+def coded(text, how):
+    return "".join(c if c.isascii() else how(ord(c)) for c in text)
+
+
+def test_garbled_signs_in_escapes(spark):
+    number, unicode_ = lambda c: f"&#{c};", lambda c: f"\\u{c:04x}"
+    docs = [coded(read_as(GERMAN, "latin-1"), number), coded(read_as(GERMAN, "latin-1"), unicode_), coded(read_as(RUSSIAN, "latin-1"), lambda c: f"&#x{c:X};"), "f&Atilde;&frac14;r jede Datei"]
+    found, fixed = run(spark, docs)
+    assert found == {0, 1, 2, 3} and [fixed[i] for i in range(4)] == [(GERMAN, False), (GERMAN, False), (RUSSIAN, False), ("für jede Datei", False)]
+    right = [coded(GERMAN, number), coded(RUSSIAN, unicode_), "a &amp; b &lt;c&gt; &nbsp;", "use `&#195;&#188;` or `\\u00c3\\u00bc` for a broken sign", "C:\\users\\u1234 and &copy; 2020"]
+    assert run(spark, right)[0] == set()
+
+
+def test_one_garbled_word_in_a_long_line(spark):
+    word = read_as("naïve Prüfung", "cp1252")
+    docs = [f"{RUSSIAN * 5} {word} {RUSSIAN * 5}", f"{JAPANESE * 5} {word} {JAPANESE}", f"{RUSSIAN} {read_as('проверьте снимок', 'cp1251')} {RUSSIAN}"]
+    found, fixed = run(spark, docs)
+    assert found == {0, 1, 2} and "naïve Prüfung" in fixed[0][0] and "naïve Prüfung" in fixed[1][0] and fixed[2][0] == f"{RUSSIAN} проверьте снимок {RUSSIAN}"
+
+
+def test_signs_with_rare_first_bytes(spark):
+    docs = ["Kiểm tra từng tệp tiếng Việt trước khi xóa", "fu\u0308r die Pru\u0308fung der Eintra\u0308ge", "şəhər üçün məlumat bazası və ölçü"]
+    found, fixed = run(spark, [read_as(t, "cp1252") for t in docs])
+    assert found == {0, 1, 2} and [fixed[i][0] for i in range(3)] == docs
