@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from linkloom.session import spread
 
-#: Words of a verbatim passage, share of a whole part, and words of the phrases looked up.
-RUN_WORDS, WHOLE_SHARE, SEED = 12, 0.8, 4
+#: Words of a verbatim passage, share of a whole part (as a fraction), and words of the phrases looked up.
+RUN_WORDS, WHOLE_SHARE, SEED = 12, (4, 5), 4
 #: A stretch of a document may be longer than the part by this factor.
 STRETCH = 1.5
-#: Words of documents in one index; items that are looked up together.
-SHARD_WORDS, ITEMS_PER_BLOCK = 2_000_000, 20_000
+#: Words of documents in one index; items that are looked up together, and their bytes.
+SHARD_WORDS, ITEMS_PER_BLOCK, BYTES_PER_BLOCK = 2_000_000, 20_000, 32_000_000
 #: Parts of like length whose words are counted together, and rows of words summed at once.
 _GROUP, _ROWS = 512, 100_000
 
@@ -60,7 +60,7 @@ def words_of(texts: pa.Array) -> pa.ListArray:
 
 
 class _Phrases:
-    """The items of a block as word codes, and all their phrases of SEED words."""
+    """The items of a block as word codes, and all phrases of SEED words of those that can hold a passage."""
 
     def __init__(self, parts: list[tuple[int, list[str]]]):
         words = sorted({w for _, p in parts for w in p})
@@ -70,16 +70,13 @@ class _Phrases:
         self.parts = [np.array([code[w] for w in p], np.int64) for _, p in parts]
         found: dict[tuple, list[tuple[int, int]]] = {}
         for k, p in enumerate(self.parts):
-            n = min(SEED, len(p))
-            for i in range(len(p) - n + 1) if n else ():
-                found.setdefault(tuple(p[i : i + n]), []).append((k, i))
-        self.by_length = {}
-        for n in sorted({len(x) for x in found}):
-            own = [x for x in found if len(x) == n]
-            of = np.repeat(np.arange(len(own)), [len(found[x]) for x in own])
-            where = np.array([w for x in own for w in found[x]], np.int64)
-            self.by_length[n] = (np.array(own, np.int64), of, where[:, 0], where[:, 1])
-        self.need = np.array([-(-len(x) * 4 // 5) for x in self.parts], np.int64)
+            for i in range(len(p) - SEED + 1) if len(p) >= RUN_WORDS else ():
+                found.setdefault(tuple(p[i : i + SEED].tolist()), []).append((k, i))
+        self.phrases = np.array(list(found), np.int64).reshape(len(found), SEED)
+        self.uses = np.array([len(x) for x in found.values()], np.int64)
+        self.first_use = np.cumsum(self.uses) - self.uses
+        self.where = np.array([w for x in found.values() for w in x], np.int64).reshape(-1, 2)
+        self.need = np.array([-(-len(x) * WHOLE_SHARE[0] // WHOLE_SHARE[1]) for x in self.parts], np.int64)
         self.groups: list[_Group] = []
         order = sorted(range(len(parts)), key=lambda k: len(self.parts[k]))
         while order:
@@ -146,18 +143,24 @@ def _common(part: np.ndarray, stretch: np.ndarray) -> int:
     return len(part) - v.bit_count()
 
 
+def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each stretch of places that follow each other."""
+    head = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    return head, (np.append(head[1:], len(places)) - 1)[: len(head)]
+
+
 def _verbatim(p: _Phrases, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(document number, part, first word, end word) of the runs of an item's words in one shard."""
-    # words of no item, and ends of documents, separate; runs too short for a phrase go
+    # words of no item, and ends of documents, separate; runs too short for a passage go
     known = codes > 0
     edge = np.zeros(len(codes) + 1, bool)
     edge[starts] = True
     run = np.cumsum(edge[:-1] | ~known | np.concatenate([[True], ~known[:-1]])) - 1
     length = np.bincount(run[known], minlength=run[-1] + 1 if len(run) else 0)
     keep = known.copy()
-    keep[known] = length[run[known]] >= min(p.by_length)
+    keep[known] = length[run[known]] >= RUN_WORDS
     at = np.flatnonzero(keep)
-    if not len(at):
+    if not len(at) or not len(p.phrases):
         return
     gap = np.concatenate([[True], run[at][1:] != run[at][:-1]])
     slot = np.arange(len(at)) + np.cumsum(gap)
@@ -169,32 +172,38 @@ def _verbatim(p: _Phrases, codes: np.ndarray, starts: np.ndarray) -> Iterator[tu
     from linkloom.llm.fm_index import FMIndex
 
     index = FMIndex(seq, len(p.words))
-    hits = []
-    for n, (phrases, of, part, offset) in p.by_length.items():
-        lo, hi = index.search(phrases)
-        some = hi - lo
-        which = np.repeat(np.arange(len(phrases)), some)
-        nth = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
-        spot = place[index.locate(lo[which] + nth)]
-        # each place of a phrase, for each part that has the phrase
-        first, many = np.searchsorted(of, which), np.bincount(of, minlength=len(phrases))[which]
-        rep = np.repeat(np.arange(len(which)), many)
-        j = first[rep] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        hits.append(np.stack([part[j], spot[rep], offset[j], np.full(len(j), n)]))
-    part, spot, offset, n = np.concatenate(hits, 1)
-    if not len(part):
-        return
-    doc = np.searchsorted(starts, spot, "right") - 1
-
-    # verbatim passages: phrases that follow each other at the same distance
-    o = np.lexsort((offset, spot - offset, part, doc))
-    key = np.stack([doc[o], part[o], (spot - offset)[o]])
-    cut = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0) | (np.diff(offset[o]) != 1)])
-    head = np.flatnonzero(cut)
-    tail = np.concatenate([head[1:], [len(o)]]) - 1
-    begin, end = spot[o][head], spot[o][tail] + n[o][tail]
-    for i in np.flatnonzero(end - begin >= RUN_WORDS):
-        yield int(doc[o][head[i]]), int(part[o][head[i]]), int(begin[i]), int(end[i])
+    lo, hi = index.search(p.phrases)
+    some = hi - lo
+    which = np.repeat(np.arange(len(p.phrases)), some)
+    nth = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+    spot = place[index.locate(lo[which] + nth)]
+    # at each place one phrase begins; a passage is as many phrases in a row
+    order = np.argsort(spot)
+    spot, which = spot[order], which[order]
+    row = RUN_WORDS - SEED + 1
+    for a, b in zip(*_runs(spot), strict=True):
+        if b - a + 1 < row:
+            continue
+        # every passage has a place of each remainder: those with the fewest parts are looked at, so that
+        # wording shared by many items is multiplied by none of them
+        uses = p.uses[which[a : b + 1]]
+        rest = int(np.argmin(np.bincount(np.arange(len(uses)) % row, uses, minlength=row)))
+        doc = int(np.searchsorted(starts, spot[a], "right")) - 1
+        low, high = int(spot[a]), int(spot[b]) + SEED
+        seen = set()
+        for i in range(a + rest, b + 1, row):
+            first = p.first_use[which[i]]
+            for k, offset in p.where[first : first + p.uses[which[i]]].tolist():
+                begin = int(spot[i]) - offset
+                if (k, begin) in seen:
+                    continue
+                seen.add((k, begin))
+                part = p.parts[k]
+                x, y = max(low, begin), min(high, begin + len(part))
+                same = np.flatnonzero(codes[x:y] == part[x - begin : y - begin])
+                for h, t in zip(*_runs(same), strict=True):
+                    if t - h + 1 >= RUN_WORDS:
+                        yield doc, int(k), x + int(same[h]), x + int(same[t]) + 1
 
 
 def _whole(p: _Phrases, codes: np.ndarray, starts: np.ndarray, done: set[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
@@ -275,14 +284,15 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     the words of all of it in their order. Null and empty texts, on either side, have no passages;
     documents that occur twice and items with the same wording give rows of their own. Documents are
     read whole, whatever their length; empty tables give no rows. Items are looked up in blocks of
-    ITEMS_PER_BLOCK, so that what goes to the tasks has a bound.
+    ITEMS_PER_BLOCK or BYTES_PER_BLOCK, so that what goes to the tasks has a bound.
     """
     slim = spread(documents.filter(F.char_length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = dict(slim.dtypes)["key"]
     parts = items.select(F.col("item_id").cast("long").alias("item_id"), F.explode(F.array("text", "answer")).alias("part")).filter("item_id is not null and part is not null")
     schema = f"key {kind}, item_id bigint, first_word bigint, end_word bigint"
     out = None
-    blocks = -(-items.count() // ITEMS_PER_BLOCK)
+    many = parts.agg(F.count_distinct("item_id").alias("n"), F.coalesce(F.sum(F.octet_length("part")), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-many["n"] // ITEMS_PER_BLOCK), -(-many["bytes"] // BYTES_PER_BLOCK))
     for b in range(blocks):
         rows = parts.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
         words = words_of(pa.array([r[1] for r in rows], pa.string())).to_pylist()

@@ -147,3 +147,33 @@ def test_stretches_against_every_window(monkeypatch):
         found = list(L._whole(p, codes, starts, set()))
         assert {f[:2] for f in found} == want and len(found) == len(want)
         assert all(L._common(p.parts[k], codes[a:b]) >= p.need[k] and codes[a] and codes[b - 1] for _, k, a, b in found)
+
+
+def test_wording_shared_by_many_items_is_not_multiplied(monkeypatch):
+    stock = [f"stock{i}" for i in range(30)]
+    parts = [(i, stock + [f"own{i}x{j}" for j in range(14)]) for i in range(300)]
+    p = L._Phrases(parts)
+    code = {w: i + 1 for i, w in enumerate(p.words.to_pylist())}
+    docs = [parts[7][1], stock[:11], parts[7][1][20:40], stock[:6] + ["none"] + stock[6:]]
+    codes = np.array([code.get(w, 0) for d in docs for w in d], np.int64)
+    starts = np.cumsum([0] + [len(d) for d in docs[:-1]])
+    found = list(L._verbatim(p, codes, starts))
+    # all 300 share more than twelve words with the first and the last document; the third has only ten of them
+    assert {f[:2] for f in found} == {(0, k) for k in range(300)} | {(2, 7)} | {(3, k) for k in range(300)}
+    assert {f[2:] for f in found if f[0] == 0 and f[1] == 7} == {(0, 44)} and {f[2:] for f in found if f[0] == 2} == {(55, 75)}
+
+
+def test_passages_against_every_window():
+    rng = random.Random(11)
+    for _ in range(80):
+        words = [f"w{i}" for i in range(rng.choice([2, 5, 40]))]
+        parts = [(i, [rng.choice(words) for _ in range(rng.choice([3, 12, 13, 30, 60]))]) for i in range(4)]
+        docs = [[x for _ in range(3) for x in [rng.choice(words) for _ in range(rng.randrange(5))] + (lambda p, a: p[a : a + rng.randrange(30)])(rng.choice(parts)[1], rng.randrange(20))] + ["none"] for _ in range(5)]
+        p = L._Phrases(parts)
+        code = {w: i + 1 for i, w in enumerate(p.words.to_pylist())}
+        codes = np.array([code.get(w, 0) for d in docs for w in d], np.int64)
+        starts = np.cumsum([0] + [len(d) for d in docs[:-1]])
+        want = {(d, k) for d, text in enumerate(docs) for k, (_, part) in enumerate(parts) for i in range(len(text) - 11) for j in range(len(part) - 11) if text[i : i + 12] == part[j : j + 12]}
+        found = list(L._verbatim(p, codes, starts))
+        assert {f[:2] for f in found} == want
+        assert all(b - a >= 12 for *_, a, b in found)
