@@ -91,26 +91,31 @@ class _Codecs:
         # place of first and later bytes (all small ones), the second byte must be another sign
         two, more = [*range(0xC2, 0xE0)], [*range(0xE0, 0xF5)]
         small = {"cp866": range(0xA0, 0xB0), "cp737": range(0x98, 0xB0)}
-        signs = lambda t, places: f"[{re.escape(''.join(t[b] for b in places))}]"
-        starts = []
-        # the same for whole batches: bits of the encodings in which a sign begins or goes on with a sequence
+        # bits of the encodings in which a sign begins or goes on with a sequence
         self.leads2, self.leads3, self.seconds, self.trails = (np.zeros(0x10000, np.uint32) for _ in range(4))
         for k, e in enumerate(SINGLE):
             t, after = self.tables[e], range(0x80, 0xC0)
             second = [b for b in after if b not in small.get(e, ())]
             for mask, places in ((self.trails, after), (self.seconds, second), (self.leads2, two), (self.leads3, more)):
                 mask[[ord(t[b]) for b in places]] |= np.uint32(1 << k)
-            starts += [signs(t, two) + signs(t, after), signs(t, more) + signs(t, second) + signs(t, after)]
-        self.gate = re.compile("|".join(dict.fromkeys(starts)))
+
+    def starts(self, signs: np.ndarray) -> np.ndarray:
+        """Of each sign but the last two the encodings, as bits, in which a sequence of UTF-8 begins there."""
+        plane = np.where(signs < 0x10000, signs, 0).astype(np.int64)
+        a, b, c = plane[:-2], plane[1:-1], plane[2:]
+        return (self.leads2[a] & self.trails[b]) | (self.leads3[a] & self.seconds[b] & self.trails[c])
+
+    def readings(self, text: str) -> int:
+        """The encodings, as bits, in which the text holds a sequence of UTF-8."""
+        return int(np.bitwise_or.reduce(self.starts(np.frombuffer((text + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32))))
 
     def worth_a_look(self, texts: list[str]) -> np.ndarray:
         """True for texts with a possible start of UTF-8 read as something else, East Asian signs or escapes."""
         signs = np.frombuffer(("\n".join(texts) + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-        plane = np.where(signs < 0x10000, signs, 0).astype(np.int64)
-        a, b, c = plane[:-2], plane[1:-1], plane[2:]
-        hit = (self.leads2[a] & self.trails[b]) | (self.leads3[a] & self.seconds[b] & self.trails[c]) | ((a >= 0x3000) & (a < 0xD7A4)) | ((a > 0xFF60) & (a < 0xFFA0))
+        first = signs[:-2]
+        hit = (self.starts(signs) > 0) | ((first >= 0x3000) & (first < 0xD7A4)) | ((first > 0xFF60) & (first < 0xFFA0))
         line = np.cumsum(signs == 10) - (signs == 10)
-        return (np.bincount(line[:-2][hit > 0], minlength=len(texts))[: len(texts)] > 0) | np.array([_ESCAPE.search(x) is not None for x in texts])
+        return (np.bincount(line[:-2][hit], minlength=len(texts))[: len(texts)] > 0) | np.array([_ESCAPE.search(x) is not None for x in texts])
 
     def utf8(self, text: str, encoding: str, size: int) -> str | None:
         """Bytes of ``encoding`` read as UTF-8, in words that are mostly such sequences."""
@@ -162,14 +167,15 @@ class _Codecs:
         new = re.sub(r"[^\x00-\x7f]{2,}", run, text)
         return new if changed else None
 
-    def steps(self, text: str, swap: bool) -> Iterator[str]:
+    def steps(self, text: str, swap: bool, readings: int) -> Iterator[str]:
         """The states one step away: by UTF-8, or by swaps of 8-bit encodings. Encodings that give the
         signs of this text the same bytes are one; of swaps only those are tried that know the signs."""
         high = {c for run in _HIGH.findall(text) for c in run}
         signs = [ord(c) for c in sorted(high)]
         known: dict[tuple, str] = {}
-        for e in SINGLE:
-            known.setdefault(tuple(map(self.bytes[e].get, signs)), e)
+        for k, e in enumerate(SINGLE):
+            if swap or readings >> k & 1:
+                known.setdefault(tuple(map(self.bytes[e].get, signs)), e)
         if not swap:
             size = sum(map(len, _HIGH.findall(text)))
             for key, e in known.items():
@@ -284,14 +290,15 @@ def _odd(text: str, excess: float) -> bool:
     return excess >= ODD_BITS and sum(map(len, _HIGH.findall(text))) >= SINGLE_SIGNS
 
 
-def _search(text: str, coders: _Codecs, model: _Model) -> str:
+def _search(text: str, coders: _Codecs, model: _Model, known: tuple[float, float] | None = None) -> str:
     """The cheapest text that can be reached, if it is so much cheaper that the given one is garbled;
     else the given one. States up to SLACK_BITS dearer than the cheapest one are expanded too, and the given
-    text by all its steps, so that a way may lead uphill and no early find hides a better one."""
+    text by all its steps, so that a way may lead uphill and no early find hides a better one. ``known`` is
+    what the model says of the text."""
     # signs in escapes have cost nothing so far: what is measured is the text they spell out, but to spell
     # them out restores nothing
     plain = _unescaped(text)
-    costs, excesses = model.of([text, plain])
+    costs, excesses = ([known[0]] * 2, [known[1]] * 2) if known and plain == text else model.of([text, plain])
     best, best_cost = text, float(costs[1])
     # of one state, the steps by UTF-8 come before the swaps, of which one is allowed on a path
     heap = [(float(costs[k]), 0, k, t, False, float(excesses[k])) for k, t in enumerate([text, plain] if plain != text else [text])]
@@ -302,9 +309,10 @@ def _search(text: str, coders: _Codecs, model: _Model) -> str:
             continue
         if not swap and not swapped and _odd(state, excess):
             heapq.heappush(heap, (cost, 1, depth, state, swapped, excess))
-        if not swap and not coders.gate.search(state) and not _WIDE.search(state) and "&" not in state:
+        readings = 0 if swap else coders.readings(state)
+        if not swap and not readings and not _WIDE.search(state) and "&" not in state:
             continue
-        new = [s for s in coders.steps(state, bool(swap)) if s not in seen]
+        new = [s for s in coders.steps(state, bool(swap), readings) if s not in seen]
         if not swap and "&" in state:
             new.append(_unescaped(state))
         new = list(dict.fromkeys(s for s in new if s not in seen))
@@ -316,8 +324,10 @@ def _search(text: str, coders: _Codecs, model: _Model) -> str:
         bits, excesses = model.of(new)
         for s, c, x in zip(new, bits.tolist(), excesses.tolist(), strict=True):
             if c < best_cost:
-                # a swap changes all signs above ASCII, the other steps may change a single word
-                before, after = (float(costs[1]), c) if swapped else model.of(_changed(plain, s))[0].tolist()
+                before, after = float(costs[1]), c
+                if before - after < max(need, share * before) and not swapped:
+                    # a swap changes all signs above ASCII, but the other steps may change a single word
+                    before, after = model.of(_changed(plain, s))[0].tolist()
                 if before - after >= max(need, share * before):
                     best, best_cost = s, c
             if c < best_cost + SLACK_BITS:
@@ -347,7 +357,7 @@ def _repair(pairs: np.ndarray, counts: np.ndarray):
                 continue
             lines = list(f["line"])
             bare = [_QUOTED.sub(" ", x) for x in lines]
-            _, excess = model.of(bare)
+            costs, excess = model.of(bare)
             look = coders.worth_a_look(bare)
             rows = []
             for i, (x, b) in enumerate(zip(lines, bare, strict=True)):
@@ -356,7 +366,7 @@ def _repair(pairs: np.ndarray, counts: np.ndarray):
                 # what is quoted beyond ASCII is an example: it is taken out of the search and stays
                 quotes = [q for q in _QUOTED.findall(x) if _is_example(q)]
                 held = _QUOTED.sub(lambda m: "\x01" if _is_example(m.group()) else m.group(), x) if quotes else x
-                fixed = _search(held, coders, model)
+                fixed = _search(held, coders, model, (float(costs[i]), float(excess[i])) if held == b else None)
                 left = _damaged(_QUOTED.sub(" ", fixed))
                 if fixed != held or left:
                     whole = re.sub("\x01", lambda _, q=iter(quotes): next(q), fixed)
