@@ -220,22 +220,23 @@ _CLASS = _classes()
 _MARK = int(_CLASS[0xFFFD])
 
 
-def _pairs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of neighbouring signs, one of them not ASCII, and the number of the text each is in."""
+def _pairs_of(texts: list[str], across: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of neighbouring signs, one of them not ASCII, and the number of the text each is in; with
+    ``across`` also the pairs of the end of a text and the first sign of the next one."""
     joined = "\n".join(texts).lower() + "\n"
     signs = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     line = np.cumsum(signs == 10) - (signs == 10)
     plane = np.where(signs < 0x10000, signs, 0xFFFF)
     kind = _CLASS[plane]
     high = signs > 127
-    keep = np.flatnonzero(high[1:] | high[:-1])
+    keep = np.flatnonzero((high[1:] | high[:-1]) & (across | (signs[:-1] != 10)))
     return kind[keep].astype(np.int64) << 16 | kind[keep + 1], line[keep]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in batches:
         if len(f):
-            keys, n = np.unique(_pairs_of(list(f["line"]))[0], return_counts=True)
+            keys, n = np.unique(_pairs_of(list(f["line"]), across=True)[0], return_counts=True)
             yield pd.DataFrame({"pair": keys, "n": n.astype(np.int64)})
 
 
