@@ -74,3 +74,46 @@ def printable_line(c: Column) -> Column:
 def run_label(tool: Column, version: Column) -> Column:
     name = F.when(F.coalesce(tool, F.lit("")) == "", F.lit("scip")).otherwise(tool)
     return F.when(F.coalesce(version, F.lit("")) == "", name).otherwise(F.concat(name, F.lit(" "), version))
+
+
+def percent_decoded(c: Column) -> Column:
+    """``%41`` becomes ``A``; a ``%`` without two hexadecimal digits stays, as does ``+``."""
+    whole = F.regexp_replace(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    return F.url_decode(whole)
+
+
+def json_bytes(c: Column) -> Column:
+    """Bytes of a text as a JSON string, quotes included."""
+    twice = F.char_length(c) - F.char_length(F.translate(c, '"\\\n\r\t\b\f', ""))
+    six = F.char_length(c) - F.char_length(F.regexp_replace(c, r"[\x00-\x07\x0b\x0e-\x1f]", ""))
+    return F.octet_length(c) + twice + 5 * six + 2
+
+
+def clip_json(c: Column, limit: int) -> Column:
+    """A text whose JSON form has at most ``limit`` bytes; else its longest prefix that has with an ellipsis.
+
+    A prefix longer than the limit can't fit, so no more than that is looked at.
+    """
+    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.char_length(c), F.lit(limit))), lambda i: F.substring(c, F.lit(1), i))
+    longest = F.array_max(F.transform(F.filter(prefixes, lambda x: json_bytes(x) + 3 <= limit), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"]
+    return F.when(json_bytes(c) <= limit, c).otherwise(F.concat(F.coalesce(longest, F.lit("")), F.lit("…")))
+
+
+def last_identifier(c: Column) -> Column:
+    """The last run of letters, digits and underscores, as in an id; empty without any."""
+    return F.regexp_extract(c, r"([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$", 1)
+
+
+# Words by which a line of a log looks like an error.
+ERROR_WORDS = ["error", "fatal", "failed", "cannot", "can't", "no projects", "not found", "panicked", "exception", "invalid"]
+
+
+def failure_summary(log: Column, limit: int = 400) -> Column:
+    """The last two lines of a log that look like errors, else its last three; frames of a backtrace
+    and blank lines don't count."""
+    frame = lambda x: x.startswith("at ") | x.startswith("Stack backtrace") | x.rlike(r"^[0-9]+: +[^0-9 ]|^[0-9]+: +$")
+    lines = F.filter(F.transform(F.split(log, "\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: (x != "") & ~frame(x))
+    bad = lambda x: F.exists(F.array(*map(F.lit, ERROR_WORDS)), lambda w: ascii_lower(x).contains(w))
+    errors = F.filter(lines, bad)
+    last = lambda a, n: F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n)
+    return clip(F.array_join(F.when(F.size(errors) > 0, last(errors, 2)).otherwise(last(lines, 3)), " | "), limit)

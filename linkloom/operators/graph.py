@@ -10,8 +10,9 @@ from linkloom.functions.text import dir_of
 #: Kinds that count for fan-in and fan-out, and their rank in answers.
 FAN_KINDS = ["CALLS", "REFERENCES", "IMPLEMENTS", "USES", "DEPENDS_ON"]
 CALLABLE = ["FUNCTION", "METHOD", "MACRO"]
-#: Lines of a file in one bucket of the interval join.
-BUCKET_LINES = 64
+#: Lines of a file in the smallest buckets of the interval join, by how much each next kind of bucket is
+#: larger, and how many kinds there are; a span takes buckets of a kind of which it fills few.
+BUCKET_LINES, BUCKET_STEP, BUCKET_KINDS = 64, 16, 5
 
 
 def priority(kind: Column) -> Column:
@@ -71,6 +72,24 @@ def dir_dependencies(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _by_place(refs, nodes, dir_of(F.col("file_path")))
 
 
+def span_buckets(start: Column, end: Column) -> Column:
+    """Buckets (kind, bucket) of a span: at most BUCKET_STEP + 1, however long it is, as wrong ends of
+    lines are; the last kind is one bucket for all that is longer."""
+    out = F.array(F.struct(F.lit(BUCKET_KINDS).alias("level"), F.lit(0).cast("bigint").alias("bucket")))
+    for k in reversed(range(BUCKET_KINDS)):
+        size, level = BUCKET_LINES * BUCKET_STEP**k, F.lit(k)
+        first, last = F.floor(start / size), F.floor(end / size)
+        own = F.sequence(first, F.least(last, first + BUCKET_STEP))
+        out = F.when(last - first <= BUCKET_STEP, F.arrays_zip(F.array_repeat(level, F.size(own)).alias("level"), own.alias("bucket"))).otherwise(out)
+    return F.explode(out)
+
+
+def point_buckets(at: Column) -> Column:
+    """The bucket of a line of each kind."""
+    own = [F.struct(F.lit(k).alias("level"), F.floor(at / (BUCKET_LINES * BUCKET_STEP**k)).cast("bigint").alias("bucket")) for k in range(BUCKET_KINDS)]
+    return F.explode(F.array(*own, F.struct(F.lit(BUCKET_KINDS).alias("level"), F.lit(0).cast("bigint").alias("bucket"))))
+
+
 def innermost_enclosing(points: DataFrame, spans: DataFrame, by: str, at: str, carried: list[str]) -> DataFrame:
     """Each point (by, at, carried...) with the id of the innermost span (by, start, end, id) around it.
 
@@ -78,9 +97,9 @@ def innermost_enclosing(points: DataFrame, spans: DataFrame, by: str, at: str, c
     one that ends first, then the greatest id; null without any. Spans are cut into buckets of lines, so
     that one long file meets in many small groups and not in one.
     """
-    cut = spans.filter("start <= end").select(by, "start", "end", "id", F.explode(F.sequence((F.col("start") / BUCKET_LINES).cast("long"), (F.col("end") / BUCKET_LINES).cast("long"))).alias("bucket"))
-    placed = points.select(by, at, *carried, (F.col(at) / BUCKET_LINES).cast("long").alias("bucket"))
-    near = placed.join(cut, [by, "bucket"], "left")
+    cut = spans.filter("start <= end").select(by, "start", "end", "id", span_buckets(F.col("start"), F.col("end")).alias("b")).select(by, "start", "end", "id", "b.*")
+    placed = points.select(by, at, *carried, point_buckets(F.col(at)).alias("b")).select(by, at, *carried, "b.*")
+    near = placed.join(cut, [by, "level", "bucket"], "left")
     inside = (F.col("start") <= F.col(at)) & (F.col(at) <= F.col("end"))
     best = F.max(F.when(inside, F.struct("start", (-F.col("end")).alias("e"), "id"))).getField("id")
     return near.groupBy(by, at, *carried).agg(best.alias("enclosing"))

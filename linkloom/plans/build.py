@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.symbols import entity_with_kind, with_symbol
-from linkloom.functions.text import clip, dir_of, file_name_of, first_fenced_block, squash
+from linkloom.functions.text import clip, dir_of, file_name_of, first_fenced_block, language_of, squash
 from linkloom.operators import graph
 from linkloom.session import cut
+from linkloom.sources.files import is_ignored
 
 _DOC = ["input_ord", "doc_ord"]
 
@@ -41,8 +42,18 @@ def last_line(s: Column) -> Column:
     return (s["end"]["line"] + F.when(early, 0).otherwise(1)).cast("long")
 
 
+def owned_documents(documents: DataFrame, listed: DataFrame, rules: list[str]) -> DataFrame:
+    """documents (path, ...) with state: listed by the scan; skipped, as the scan knows its language but left
+    it out; ignored by the rules; or other, a file of a language that no scan knows, still to be read."""
+    known = documents.join(listed.select("path", F.lit(True).alias("known")).distinct(), "path", "left")
+    state = F.when(F.col("known"), "listed").when(language_of(F.col("path")).isNotNull(), "skipped").when(is_ignored(F.col("path"), rules), "ignored").otherwise("other")
+    return known.withColumn("state", state).drop("known")
+
+
 def accepted_documents(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """Documents of listed files with state: used, ignored (no such file), duplicate (a second one of a path)."""
+    """Documents of listed files with state: used, ignored (no such file), duplicate (a second one of a path).
+
+    Files of languages that no scan knows are listed by `owned_documents` and `sources.files.stat_of`."""
     listed = documents.join(files.select("path", F.lit(True).alias("listed")).distinct(), "path", "left")
     rank = F.row_number().over(Window.partitionBy("path").orderBy("input_ord", "doc_ord"))
     return listed.withColumn("state", F.when(F.col("listed").isNull(), "ignored").when(rank == 1, "used").otherwise("duplicate")).drop("listed")
@@ -90,9 +101,9 @@ def _innermost(refs: DataFrame, defs: DataFrame) -> DataFrame:
 
     Ranges are half open. Buckets of lines keep large files in small groups.
     """
-    size = graph.BUCKET_LINES
-    ranges = defs.filter("whole is not null").select("path", F.col("whole.start").alias("b"), F.col("whole.end").alias("e"), F.col("occ_ord").alias("k"), F.col("node_id").alias("around"), F.explode(F.sequence((F.col("whole.start.line") / size).cast("int"), (F.col("whole.end.line") / size).cast("int"))).alias("bucket"))
-    near = refs.withColumn("bucket", (F.col("pos.line") / size).cast("int")).join(ranges, ["path", "bucket"], "left")
+    line = lambda c: F.col(c).cast("long")
+    ranges = defs.filter("whole is not null and whole.start.line <= whole.end.line").select("path", F.col("whole.start").alias("b"), F.col("whole.end").alias("e"), F.col("occ_ord").alias("k"), F.col("node_id").alias("around"), graph.span_buckets(line("whole.start.line"), line("whole.end.line")).alias("at")).select("*", "at.*").drop("at")
+    near = refs.select("*", graph.point_buckets(line("pos.line")).alias("at")).select("*", "at.*").drop("at").join(ranges, ["path", "level", "bucket"], "left")
     inside = (F.col("b") <= F.col("pos")) & (F.col("pos") < F.col("e"))
     key = F.struct(F.col("b"), F.struct((-F.col("e.line")).alias("l"), (-F.col("e.col")).alias("c")).alias("e"), "k", "around")
     keys = ["path", *_DOC, "occ_ord"]

@@ -8,10 +8,13 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import file_name_of, language_of
+from linkloom.functions.text import extension_of, file_name_of, language_of
 
-#: Folders that a scan leaves out unless told otherwise.
-IGNORED = ["node_modules/", "target/", "dist/", "build/", "__pycache__/", ".git/"]
+# What a scan leaves out unless told otherwise.
+IGNORED = [
+    ".git/", "node_modules/", "vendor/", "venv/", ".venv/", "site-packages/", "__pycache__/", "target/", "dist/", "build/",
+    ".pytest_cache/", ".ruff_cache/", ".mypy_cache/", "*.min.js", "*.map",
+]
 
 
 def ignore_pattern(rule: str) -> tuple[str, bool]:
@@ -81,3 +84,13 @@ def scan(spark: SparkSession, root: str, rules: list[str] = IGNORED) -> DataFram
 def markers(spark: SparkSession, root: str, names: list[str], rules: list[str] = IGNORED) -> DataFrame:
     """Paths of project files (of any kind) with one of the names; their content is not read."""
     return _listed(spark, root, rules)[0].filter(file_name_of(F.col("path")).isin(names))
+
+
+def stat_of(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """(path, language, size, hash, lines) of files of other languages that an index names, below root;
+    the language is the extension. Paths that are not there give no row."""
+    base = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    named = files.select(F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "").alias("path"), "content").join(paths.select("path").distinct(), "path", "left_semi")
+    language = F.coalesce(F.nullif(extension_of(F.col("path")), F.lit("")), F.lit("unknown"))
+    return with_stat(named).select("path", language.alias("language"), "size", "hash", "lines")

@@ -43,7 +43,10 @@ def test_trace_numbers_like_a_queue(spark):
 def test_trace_cap(spark):
     rows = [(f"n{i:03}", "hub", "CALLS", 1, []) for i in range(50)] + [(f"m{i}", "n000", "CALLS", 1, []) for i in range(9)]
     got = trace(spark.createDataFrame(rows, LINK), "hub", depth=2, visits=20).collect()
-    assert sorted(r.n for r in got) == list(range(1, 21)) and {r.depth for r in got} == {1}
+    assert sorted(r.n for r in got) == list(range(1, 21)) and {r.depth for r in got} == {1} and not any(r.complete for r in got)
+    for cap, complete in ((58, False), (59, True), (60, True)):
+        got = trace(spark.createDataFrame(rows, LINK), "hub", depth=2, visits=cap).collect()
+        assert len(got) == min(cap, 59) and {r.complete for r in got} == {complete}
 
 
 def test_topmost_roots(spark):
