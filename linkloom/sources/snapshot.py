@@ -1,4 +1,4 @@
-"""Versioned snapshots of a build: written whole, checked, then made current by renaming a pointer."""
+"""Versioned snapshots of a build: written whole, checked, then made current by one rename of a pointer."""
 
 from __future__ import annotations
 
@@ -17,19 +17,35 @@ class BrokenSnapshot(ValueError):
     """The new relations don't belong together; the current snapshot stays as it is."""
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+def _hadoop(spark: SparkSession, path: str):
+    """File context, constructor of paths and options of the file system that holds the path."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return fs.FileContext.getFileContext(fs.Path(path).getFileSystem(conf).getUri(), conf), fs
 
 
 def _pointer(spark: SparkSession, root: str) -> dict | None:
-    fs, path = _fs(spark, root)
-    if not fs.exists(path(f"{root}/CURRENT")):
+    context, fs = _hadoop(spark, root)
+    if not context.util().exists(fs.Path(f"{root}/CURRENT")):
         return None
     return json.loads("".join(r.value for r in spark.read.text(f"{root}/CURRENT").collect()))  # a single line
 
 
+def _point(spark: SparkSession, root: str, version: dict) -> None:
+    """Writes the pointer beside the current one, then puts it in its place by one rename, so a reader
+    finds the old pointer or the new one, never none."""
+    context, fs = _hadoop(spark, root)
+    jvm, following = spark.sparkContext._jvm, fs.Path(f"{root}/CURRENT.next")
+    flags = jvm.java.util.EnumSet.of(fs.CreateFlag.CREATE, fs.CreateFlag.OVERWRITE)
+    none = spark.sparkContext._gateway.new_array(fs.Options.CreateOpts, 0)
+    out = context.create(following, flags, none)
+    out.write(bytearray(json.dumps(version).encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    over[0] = getattr(fs, "Options$Rename").OVERWRITE
+    context.rename(following, fs.Path(f"{root}/CURRENT"), over)
+
+
 def write_snapshot(spark: SparkSession, root: str, relations: dict[str, DataFrame], name: str) -> str:
     """Writes a snapshot and makes it current. A dangling edge leaves everything as it was."""
     version = f"{root}/v={name}"
@@ -39,14 +55,7 @@ def write_snapshot(spark: SparkSession, root: str, relations: dict[str, DataFram
     lost = dangling(stored["edges"], stored["nodes"]).limit(1).collect()
     if lost:
         raise BrokenSnapshot(f"an edge has no {lost[0]['missing']}: {lost[0]['source']} -> {lost[0]['target']}")
-    spark.createDataFrame([(json.dumps({"version": name, "schema_version": SCHEMA_VERSION}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/NEXT")
-    fs, path = _fs(spark, root)
-    old = path(f"{root}/PREVIOUS")
-    if fs.exists(old):
-        fs.delete(old, True)
-    if fs.exists(path(f"{root}/CURRENT")):
-        fs.rename(path(f"{root}/CURRENT"), old)
-    fs.rename(path(f"{root}/NEXT"), path(f"{root}/CURRENT"))
+    _point(spark, root, {"version": name, "schema_version": SCHEMA_VERSION})
     return version
 
 

@@ -1,13 +1,15 @@
 import json
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from linkloom.plans.build import build
 from linkloom.session import table
 from linkloom.sources import snapshot
 from linkloom.sources.files import is_ignored, markers, scan
-from linkloom.sources.semantic_index import read_indexes
+from linkloom.sources import semantic_index as I
+from linkloom.sources.semantic_index import read_binary_indexes, read_indexes
 from linkloom.streaming.links import keep_counts, latest_counts
 
 
@@ -66,3 +68,45 @@ def test_streamed_counts_equal_the_batch(spark, sf, tmp_path):
     n = F.coalesce(F.get_json_object("metadata", "$.count").cast("bigint"), F.lit(1))
     want = {tuple(r) for r in once.groupBy("source_id", "target_id", "type").agg(F.sum(n), F.count("*")).collect()}
     assert got == want
+
+
+def varint(n):
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+
+def field(number, value):
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def encoded(fields, **values):
+    return b"".join(field(fields[k], x) for k, v in values.items() for x in (v if isinstance(v, list) else [v]))
+
+
+def test_binary_index_equals_its_decoded_form(spark, tmp_path):
+    name, other = "r cargo c 1 m/keep().", "r cargo c 1 m/Draw#"
+    packed = lambda *ns: b"".join(map(varint, ns))
+    definition = encoded(I.OCCURRENCE, range=packed(3, 4, 200), symbol=name, symbol_roles=1, enclosing_range=packed(3, 0, 300, 1))
+    typed = encoded(I.OCCURRENCE, symbol=name) + field(I.OCCURRENCE["multi_line_range"], b"".join(field(n, v) for n, v in ((1, 7), (3, 8), (4, 5))))
+    loose = b"".join(field(I.OCCURRENCE["range"], n) for n in (9, 1, 2)) + encoded(I.OCCURRENCE, symbol="local 1") + varint(99 << 3 | 5) + b"abcd" + varint(98 << 3 | 1) + b"abcdefgh"
+    info = encoded(I.SYMBOL, symbol=name, documentation=["Keeps it.", "ä"], relationships=[encoded(I.RELATIONSHIP, symbol=other, is_implementation=1)], kind=I.KINDS["Method"], display_name="keep", signature_documentation=encoded(I.DOCUMENT, text="fn keep()"))
+    bare = encoded(I.SYMBOL, symbol=other, kind=9999)
+    document = encoded(I.DOCUMENT, relative_path="./a b.rs", language="rust", occurrences=[definition, typed, loose], symbols=[info, bare])
+    meta = encoded(I.METADATA, tool_info=encoded(I.TOOL, name="t", version="2"), project_root="file:///work/my%20app/lib/")
+    (tmp_path / "one.bin").write_bytes(field(I.INDEX["metadata"], meta) + field(I.INDEX["documents"], document) * 2)
+    (tmp_path / "two.bin").write_bytes(field(I.INDEX["documents"], encoded(I.DOCUMENT, relative_path="b.rs")))
+    (tmp_path / "none.bin").write_bytes(b"")
+    docs, occ, sym = read_binary_indexes(spark, [str(tmp_path / f) for f in ("one.bin", "two.bin", "none.bin")], "/work/my app")
+    assert sorted(tuple(r) for r in docs.collect()) == [(0, 0, "lib/a b.rs", "rust", "t 2"), (0, 1, "lib/a b.rs", "rust", "t 2"), (1, 0, "b.rs", "", "scip")]
+    assert sorted(tuple(r) for r in occ.filter("doc_ord = 0").collect()) == [(0, 0, 0, name, 1, [3, 4, 200], [3, 0, 300, 1]), (0, 0, 1, name, 0, [7, 0, 8, 5], []), (0, 0, 2, "local 1", 0, [9, 1, 2], [])]
+    got = {r.symbol: r for r in sym.filter("doc_ord = 0").collect()}
+    assert (got[name].kind, got[name].display_name, got[name].documentation, got[name].signature_text) == ("Method", "keep", ["Keeps it.", "ä"], "fn keep()")
+    assert [tuple(r) for r in got[name].relationships] == [(other, True)] and got[other].kind is None
+    files = spark.createDataFrame([("lib/a b.rs", "rust", 9, "h", 301), ("b.rs", "rust", 1, "h", 1)], "path string, language string, size long, hash string, lines long")
+    built = build(docs, occ, sym, files)
+    assert {(r.source, r.target, r.kind) for r in built.edges.filter("kind = 'CALLS'").collect()} == {("cargo:c:m/keep().", "cargo:c:m/keep().", "CALLS")}
+    (tmp_path / "bad.bin").write_bytes(b"\xff\xff not an index")
+    with pytest.raises(PythonException):
+        read_binary_indexes(spark, [str(tmp_path / "bad.bin")])[0].collect()
