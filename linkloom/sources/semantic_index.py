@@ -62,6 +62,10 @@ def _fields(buf: memoryview) -> Iterator[tuple[int, int | memoryview]]:
         yield tag >> 3, value
 
 
+def _view(value: pa.BinaryScalar) -> memoryview:
+    return memoryview(value.as_buffer() if value.is_valid else b"").cast("B")
+
+
 def _message(buf: memoryview) -> dict[int, list]:
     out: dict[int, list] = {}
     for number, value in _fields(buf):
@@ -119,7 +123,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index files (input_ord, content) to a row for each document, still encoded."""
     for b in batches:
         for ord_, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            index = _message(memoryview(content.as_buffer()) if content.is_valid else memoryview(b""))
+            index = _message(_view(content))
             meta = _message(index[INDEX["metadata"]][-1]) if INDEX["metadata"] in index else {}
             tool = _message(meta[METADATA["tool_info"]][-1]) if METADATA["tool_info"] in meta else {}
             rows = [{
@@ -138,7 +142,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     occurrence = pa.struct([("range", pa.list_(pa.int32())), ("symbol", pa.string()), ("symbol_roles", pa.int32()), ("enclosing_range", pa.list_(pa.int32()))])
     symbol = pa.struct([("symbol", pa.string()), ("kind", pa.string()), ("display_name", pa.string()), ("documentation", pa.list_(pa.string())), ("signature_text", pa.string()), ("relationships", pa.list_(related))])
     for b in batches:
-        documents = [_message(memoryview(d.as_buffer())) for d in b.column("document")]
+        documents = [_message(_view(d)) for d in b.column("document")]
         columns = {
             "relative_path": pa.array([_text(d, DOCUMENT["relative_path"]) for d in documents], pa.string()), "language": pa.array([_text(d, DOCUMENT["language"]) for d in documents], pa.string()),
             "occurrences": pa.array([[_occurrence(o) for o in d.get(DOCUMENT["occurrences"], [])] for d in documents], pa.list_(occurrence)),
