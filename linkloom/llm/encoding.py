@@ -25,8 +25,8 @@ from linkloom.session import cut
 VOCABULARIES = "/opt/tokenizers"
 #: The word pattern of byte_bpe_50k as Java writes it; (?U) gives \s all Unicode spaces.
 WORDS = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The words that every task holds: how many, and the bytes of the longest one. At most 13 MB of words.
-FREQUENT_WORDS, FREQUENT_BYTES = 50_000, 256
+#: The words that every task holds: how many, and the bytes of the longest one. At most 4 MB of words.
+FREQUENT_WORDS, FREQUENT_BYTES = 16_000, 256
 #: Rows of texts that a task looks up at once.
 _ROWS = 1000
 
