@@ -119,6 +119,13 @@ def _solve(nodes: DataFrame, level: int, with_path: bool, per_task: int, hub: in
     )
 
 
+def _parents(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, parent) of every id at an end of a link; null for those without a parent."""
+    ends = links.select(F.col(child).cast("string").alias("node"), F.col(parent).cast("string").alias("parent")).filter("node is not null and parent is not null")
+    both = ends.unionByName(ends.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
+    return both.groupBy("node").agg(F.min("parent").alias("parent"))
+
+
 def hierarchy(links: DataFrame, child: str = "target_id", parent: str = "source_id", with_path: bool = False, per_task: int = NODES_PER_TASK, hub: int = HUB) -> DataFrame:
     """One row (node_id, root_id, depth, path) for each id at either end of a link.
 
@@ -127,9 +134,7 @@ def hierarchy(links: DataFrame, child: str = "target_id", parent: str = "source_
     ignored and repeated links count once; if a node has several parents, the smallest id counts. A
     link of a node to itself is a cycle. An empty table gives no rows; other columns are not read.
     """
-    ends = links.select(F.col(child).cast("string").alias("node"), F.col(parent).cast("string").alias("parent")).filter("node is not null and parent is not null")
-    both = ends.unionByName(ends.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
-    nodes = both.groupBy("node").agg(F.min("parent").alias("parent"))
+    nodes = _parents(links, child, parent)
     chain = F.array("node") if with_path else F.lit(None).cast("array<string>")
     start = cut(nodes.select("node", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("weight"), chain.alias("chain"), F.when(F.col("parent").isNull(), F.col("node")).alias("root")))
     bad = F.col("state") == 1
@@ -149,3 +154,22 @@ def descendants(paths: DataFrame) -> DataFrame:
     """(ancestor_id, node_id, distance) of every node and each of its ancestors, itself excluded."""
     above = F.slice("path", 1, F.size("path") - 1)
     return paths.filter("depth > 0").select("node_id", "depth", F.posexplode(above).alias("at", "ancestor_id")).select("ancestor_id", "node_id", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
+
+
+def subtree_sizes(links: DataFrame, child: str = "target_id", parent: str = "source_id") -> DataFrame:
+    """(node_id, descendants, height) of each id that has descendants; none on or below a cycle.
+
+    After round k a node knows its ancestor 2^k links above and what lies less than 2^k links below, and
+    adds that to the ancestor's. So the rounds are as many as the depth has binary digits, no pair of
+    ancestor and descendant is spelled out, and what goes to a hub is aggregated before it is shuffled.
+    """
+    solved = cut(hierarchy(links, child, parent)).filter("depth >= 0").select("node_id", "depth")
+    deepest = solved.agg(F.max("depth")).first()[0] or 0
+    known = solved.join(_parents(links, child, parent).withColumnRenamed("node", "node_id"), "node_id")
+    state = cut(known.select(F.col("node_id").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("h")))
+    for k in range(int(deepest).bit_length()):
+        below = state.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("more"), (F.max("h") + 2**k).alias("deep"))
+        above = state.filter("up is not null").select(F.col("node").alias("up"), F.col("up").alias("next"))
+        grown = state.join(below, "node", "left").join(above, "up", "left")
+        state = cut(grown.select("node", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("h", F.coalesce("deep", F.lit(0))).alias("h")))
+    return state.filter("n > 1").select(F.col("node").alias("node_id"), (F.col("n") - 1).alias("descendants"), F.col("h").cast("int").alias("height"))

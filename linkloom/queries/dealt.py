@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators.heavy_keys import edge_key_states, heavy_pairs
-from linkloom.operators.hierarchy import containment, descendants, hierarchy
+from linkloom.operators.hierarchy import containment, descendants, hierarchy, subtree_sizes
 from linkloom.operators.snapshots import manifest_changes
-from linkloom.session import cut, table
+from linkloom.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,12 +38,15 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
-    paths = cut(hierarchy(containment(table(spark, d, "edges")), with_path=True))
-    below = descendants(paths).groupBy("ancestor_id").agg(F.count("*").alias("descendants"), F.max("distance").cast("int").alias("height"))
-    return below.withColumnRenamed("ancestor_id", "node_id")
+    return subtree_sizes(containment(table(spark, d, "edges")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_states, p3_found, p3_change_counts, p4_found, p4_paths, p4_descendant_counts)}
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with each of its ancestors: as many rows as the depths of all nodes add up to."""
+    return descendants(hierarchy(containment(table(spark, d, "edges")), with_path=True))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_states, p3_found, p3_change_counts, p4_found, p4_paths, p4_descendant_counts, p4_descendants)}
 
 _CHANGES = r"""
 WITH c AS (SELECT snapshot_no, loaded_at, lower(trim(content_hash, E' \t\n\r\f\v')) h,
@@ -81,6 +84,9 @@ ORACLE = {
         FROM ids LEFT JOIN t ON t.node = ids.node""",
     "p4_paths": _TREE + """SELECT ids.node node_id, coalesce(t.root, '') root_id, CAST(coalesce(t.depth, -1) AS INT) depth, t.path
         FROM ids LEFT JOIN t ON t.node = ids.node""",
+    "p4_descendants": _TREE + """, u AS (SELECT node top, node, 0 distance FROM t
+      UNION ALL SELECT u.top, l.node, u.distance + 1 FROM u JOIN l ON l.parent = u.node)
+      SELECT top ancestor_id, node node_id, CAST(distance AS INT) distance FROM u WHERE distance > 0""",
     "p4_descendant_counts": _TREE + """, u AS (SELECT node top, node, 0 distance FROM t
       UNION ALL SELECT u.top, l.node, u.distance + 1 FROM u JOIN l ON l.parent = u.node)
       SELECT top node_id, count(*) descendants, CAST(max(distance) AS INT) height FROM u WHERE distance > 0 GROUP BY 1""",

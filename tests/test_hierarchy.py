@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import hierarchy as H
-from linkloom.operators.hierarchy import descendants, hierarchy
+from linkloom.operators.hierarchy import descendants, hierarchy, subtree_sizes
 
 
 def brute(links):
@@ -83,3 +83,18 @@ def test_children_of_a_hub_stay_spread(spark):
     for level in (1, 2, 3):
         sizes = H._placed(df, level, parts, 1000).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
         assert max(r["count"] for r in sizes) < 3 * leaves / parts
+
+
+def test_sizes_of_subtrees(spark):
+    rng = random.Random(12)
+    chain = [(f"a{i}", f"a{i + 1}") for i in range(37)]
+    tree = [(f"t{rng.randrange(i)}", f"t{i}") for i in range(1, 120)] + [("t0", f"leaf{i}") for i in range(30)]
+    links = chain + tree + tree[:5] + [("x", "y"), ("y", "x"), ("y", "z"), (None, "q"), ("s", "s")]
+    got = {r.node_id: (r.descendants, r.height) for r in subtree_sizes(spark.createDataFrame(links, "source_id string, target_id string")).collect()}
+    want = {}
+    for node, (root, depth, path) in brute(links).items():
+        for up, above in enumerate(reversed((path or [])[:-1]), 1):
+            n, h = want.get(above, (0, 0))
+            want[above] = (n + 1, max(h, up))
+    assert got == want
+    assert subtree_sizes(spark.createDataFrame([], "source_id string, target_id string")).count() == 0
