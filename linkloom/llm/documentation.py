@@ -197,16 +197,20 @@ def is_trivial(doc: Column, name: Column) -> Column:
     return F.coalesce(~rest.rlike(r"[\p{L}\p{N}]") | (F.size(F.array_except(words, known)) == 0), F.lit(True))
 
 
-def documented(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node_id, name, file_path, start_line, end_line, doc) of each FUNCTION or METHOD with code in the
-    texts of `source_texts` and a documentation that says something."""
+def coded(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each FUNCTION or METHOD whose lines are given, in order and inside the text of its file."""
     functions = nodes.filter(F.col("type").isin("FUNCTION", "METHOD") & F.col("id").isNotNull()).select(
         F.col("id").alias("node_id"), "name", "file_path", "start_line", "end_line", F.get_json_object("metadata", "$.doc").alias("own")
     ).distinct()
-    coded = functions.filter("start_line <= end_line and start_line >= 1").join(texts.select("file_path", "n_lines"), "file_path").filter("end_line <= n_lines")
+    return functions.filter("start_line <= end_line and start_line >= 1").join(texts.select("file_path", "n_lines"), "file_path").filter("end_line <= n_lines")
+
+
+def documented(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node_id, name, file_path, start_line, end_line, doc) of each FUNCTION or METHOD with code in the
+    texts of `source_texts` and a documentation that says something."""
     heads = headed_rows(texts)
     own = F.when(F.col("own").rlike(r"[^\s\p{Z}\p{Cc}]"), F.col("own"))
-    tied = coded.join(heads.withColumnRenamed("line", "start_line"), ["file_path", "start_line"], "left")
+    tied = coded(nodes, texts).join(heads.withColumnRenamed("line", "start_line"), ["file_path", "start_line"], "left")
     # the comment above, unless it is blank and the body opens with a string
     found = F.filter(F.array("comment", "opening"), lambda c: comment_text(c).rlike(r"[\p{L}\p{N}]"))
     any_ = F.coalesce(F.try_element_at(found, F.lit(1)), F.col("comment"), F.col("opening"))
