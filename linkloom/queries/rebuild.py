@@ -9,7 +9,7 @@ from linkloom.functions.symbols import with_symbol
 from linkloom.functions.text import clean_path
 from linkloom.operators import graph
 from linkloom.plans.build import Built, build
-from linkloom.queries.graph import _N, _manifest
+from linkloom.queries.graph import _L, _N, _m, _manifest
 from linkloom.session import cut, table
 
 
@@ -65,7 +65,19 @@ def rebuilt_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (symbol_ids, rebuilt_graph, rebuilt_stats)}
+# The counts of the build by the stored ids alone: every stored symbol is defined where its lines say.
+_COUNTED = rf"""s AS (SELECT id, type, regexp_replace(id, '~\d+$', '') sid, start_line, end_line, regexp_replace(regexp_replace(replace(file_path, '\', '/'), '/+', '/', 'g'), '^(\./)+', '') path
+  FROM n WHERE type NOT IN ('FILE','MODULE','EXTERNAL') AND j->>'$.symbol' IS NOT NULL AND file_path IS NOT NULL),
+docs AS (SELECT DISTINCT path, path IN (SELECT file_path FROM m) used FROM s),
+defs AS (SELECT s.*, regexp_extract(sid, '^([^:]*:[^:]*):', 1) package FROM s JOIN docs USING (path) WHERE used AND start_line >= 1 AND start_line <= end_line),
+lines AS (SELECT DISTINCT source, target, line FROM (SELECT source, target, unnest(CAST(json_extract(j, '$.lines') AS BIGINT[])) line FROM raw WHERE kind IN ('CALLS', 'REFERENCES')) WHERE line IS NOT NULL),
+refs AS (SELECT CASE WHEN t.sid IN (SELECT sid FROM defs) THEN 'resolved' WHEN regexp_extract(t.sid, '^([^:]*:[^:]*):', 1) IN (SELECT package FROM defs) THEN 'unresolved' ELSE 'external' END outcome
+  FROM lines l JOIN s f ON f.id = l.source JOIN docs ON docs.path = f.path JOIN s t ON t.id = l.target WHERE docs.used AND t.type <> 'NAMESPACE')"""
+
 ORACLE = {
+    "rebuilt_stats": f"""WITH {_N}, {_L}, {_m()}, {_COUNTED} SELECT 'documents' name, count(*) FILTER (used) "value" FROM docs UNION ALL SELECT 'ignored_documents', count(*) FILTER (NOT used) FROM docs
+      UNION ALL SELECT 'duplicate_documents', 0 UNION ALL SELECT 'definitions', count(*) FROM defs UNION ALL SELECT 'duplicate_definitions', count(*) - count(DISTINCT sid) FROM defs
+      UNION ALL SELECT o, (SELECT count(*) FROM refs WHERE outcome = o) FROM (VALUES ('resolved'), ('external'), ('unresolved')) v(o)""",
     "symbol_ids": f"""WITH {_N} SELECT id stored_id, regexp_replace(id, '~\\d+$', '') symbol_id, j->>'$.qualified' qualified, name FROM n
       WHERE type NOT IN ('FILE','MODULE','EXTERNAL','NAMESPACE') AND j->>'$.symbol' IS NOT NULL""",
 }
