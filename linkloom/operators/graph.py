@@ -58,9 +58,12 @@ def with_fan(nodes: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def _by_place(refs: DataFrame, nodes: DataFrame, place: Column) -> DataFrame:
+    """References between places. They are summed per place and target before the join on the target,
+    which may hold a third of all rows."""
     at = nodes.select("id", place.alias("place")).filter("place is not null")
-    used = refs.filter(F.col("kind").isin("CALLS", "REFERENCES")).groupBy("source", "target").agg(F.sum("n").alias("n"))
-    both = used.join(at.withColumnsRenamed({"id": "source", "place": "from_place"}), "source").join(at.withColumnsRenamed({"id": "target", "place": "to_place"}), "target")
+    used = refs.filter(F.col("kind").isin("CALLS", "REFERENCES")).join(at.withColumnsRenamed({"id": "source", "place": "from_place"}), "source")
+    summed = used.groupBy("from_place", "target").agg(F.sum("n").alias("n"))
+    both = summed.join(at.withColumnsRenamed({"id": "target", "place": "to_place"}), "target")
     return both.filter("from_place != to_place").groupBy("from_place", "to_place").agg(F.sum("n").alias("n"))
 
 
@@ -118,9 +121,13 @@ def resolve(refs: DataFrame, nodes: DataFrame, packages: DataFrame) -> DataFrame
 def dangling(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of refs with an end that is no node: (source, target, kind, missing)."""
     ids = nodes.select("id")
-    no_source = refs.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").select("source", "target", "kind", F.lit("source").alias("missing"))
-    no_target = refs.join(ids.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target", "kind", F.lit("target").alias("missing"))
-    return no_source.unionByName(no_target)
+
+    def lost(end: str) -> DataFrame:
+        # each end once, however many rows have it
+        gone = refs.select(end).distinct().join(ids.withColumnRenamed("id", end), end, "left_anti")
+        return refs.join(gone, end, "left_semi").select("source", "target", "kind", F.lit(end).alias("missing"))
+
+    return lost("source").unionByName(lost("target"))
 
 
 def numbered_definitions(defs: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -135,8 +135,9 @@ def _package(c):
 def resolve_references(spark, d):
     n = _nodes(spark, d)
     own = n.filter("type not in ('FILE', 'MODULE', 'EXTERNAL')").select(_package(F.col("id")).alias("package")).filter("package != ''")
-    refs = _links(spark, d).select("source", "target", F.nullif(_package(F.col("target")), F.lit("")).alias("package"))
-    return graph.resolve(refs, n, own).groupBy("outcome").agg(F.count("*").alias("refs"), F.count_distinct("target").alias("targets"))
+    # one row for each target, however many links it has
+    targets = _links(spark, d).groupBy("target").agg(F.count("*").alias("refs")).select("target", "refs", F.nullif(_package(F.col("target")), F.lit("")).alias("package"))
+    return graph.resolve(targets, n, own).groupBy("outcome").agg(F.sum("refs").alias("refs"), F.count("*").alias("targets"))
 
 
 def dangling_edges(spark, d):
