@@ -131,14 +131,16 @@ def build(documents: DataFrame, occurrences: DataFrame, symbols: DataFrame, file
 
     canonical = defs.filter("n = 1").select(F.col("node_id").alias("target"), F.col("type").alias("target_type"))
     own_packages = defs.select("package").distinct()
-    tagged = cut(graph.resolve(refs, canonical.withColumnRenamed("target", "id"), own_packages).join(canonical, "target", "left"))
+    tagged = graph.resolve(refs, canonical.withColumnRenamed("target", "id"), own_packages).join(canonical, "target", "left")
     calls = F.col("around").isNotNull() & F.col("target_type").isin(graph.CALLABLE)
     outside = F.concat(F.lit("external:"), F.replace("package", F.lit("/"), F.lit(":")))
-    kind = F.when(F.col("outcome") == "external", "USES").when(calls, "CALLS").otherwise("REFERENCES")
-    used_refs = tagged.filter("outcome in ('resolved', 'external')").select("source", F.when(F.col("outcome") == "external", outside).otherwise(F.col("target")).alias("target"), kind.alias("kind"), F.lit(1).cast("bigint").alias("n"), F.array("line").alias("lines"))
-    counted = cut(graph.aggregate_links(used_refs))
-    packages = tagged.filter("outcome = 'external'").select("package").distinct()
-    external_nodes = packages.select(F.concat(F.lit("external:"), F.replace("package", F.lit("/"), F.lit(":"))).alias("id"), F.lit("EXTERNAL").alias("type"), F.element_at(F.split("package", "/"), -1).alias("name"), *[empty("string" if c not in ("start_line", "end_line") else "long").alias(c) for c in columns[3:]])
+    kind = F.when(F.col("outcome") == "external", "USES").when(F.col("outcome") == "unresolved", "unresolved").when(calls, "CALLS").otherwise("REFERENCES")
+    used_refs = tagged.filter("outcome != 'dropped'").select("source", F.when(F.col("outcome") == "external", outside).otherwise(F.col("target")).alias("target"), kind.alias("kind"), F.lit(1).cast("bigint").alias("n"), F.array("line").alias("lines"))
+    # all that nodes, edges and statistics need of the references, summed
+    every = cut(graph.aggregate_links(used_refs))
+    counted = every.filter("kind != 'unresolved'")
+    packages = counted.filter("kind = 'USES'").select(F.col("target").alias("id")).distinct()
+    external_nodes = packages.select("id", F.lit("EXTERNAL").alias("type"), F.element_at(F.split("id", "[:/]"), -1).alias("name"), *[empty("string" if c not in ("start_line", "end_line") else "long").alias(c) for c in columns[3:]])
     nodes = file_nodes.unionByName(symbol_nodes).unionByName(dir_nodes).unionByName(external_nodes)
 
     # structure: folders hold files, types hold members, files define the rest
@@ -156,15 +158,12 @@ def build(documents: DataFrame, occurrences: DataFrame, symbols: DataFrame, file
     roll = lambda df, prefix: df.select(F.concat(F.lit(prefix), "from_place").alias("source"), F.concat(F.lit(prefix), "to_place").alias("target"), F.lit("DEPENDS_ON").alias("kind"), "n", empty("array<bigint>").alias("lines"))
     edges = plain(dir_edges).unionByName(plain(owned)).unionByName(plain(implemented)).unionByName(counted)
     edges = edges.unionByName(roll(graph.file_dependencies(counted, at), "file:")).unionByName(roll(graph.dir_dependencies(counted, at), "module:"))
-    edges = cut(edges)
-
-    stat = lambda df, what, name: df.agg(F.count_if(what).alias("value")).select(F.lit(name).alias("name"), "value")
-    stats = None
-    for df, what, name in (
-        (states, F.col("state") == "used", "documents"), (states, F.col("state") == "ignored", "ignored_documents"), (states, F.col("state") == "duplicate", "duplicate_documents"),
-        (defs, F.lit(True), "definitions"), (defs, F.col("n") > 1, "duplicate_definitions"), (tagged, F.col("outcome") == "resolved", "resolved"),
-        (tagged, F.col("outcome") == "external", "external"), (tagged, F.col("outcome") == "unresolved", "unresolved"),
-    ):
-        one = stat(df, what, name)
-        stats = one if stats is None else stats.unionByName(one)
+
+    rows = lambda df, columns: df.agg(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(name) for name, c in columns.items()]).select(F.explode(F.create_map(*[x for name in columns for x in (F.lit(name), F.col(name))])).alias("name", "value"))
+    state, own = (lambda x: F.count_if(F.col("state") == x)), (lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))))
+    stats = (
+        rows(states, {"documents": state("used"), "ignored_documents": state("ignored"), "duplicate_documents": state("duplicate")})
+        .unionByName(rows(defs, {"definitions": F.count("*"), "duplicate_definitions": F.count_if(F.col("n") > 1)}))
+        .unionByName(rows(every, {"resolved": own("CALLS", "REFERENCES"), "external": own("USES"), "unresolved": own("unresolved")}))
+    )
     return Built(graph.with_fan(nodes, edges), edges, manifest, stats)
