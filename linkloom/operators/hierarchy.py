@@ -163,13 +163,19 @@ def subtree_sizes(links: DataFrame, child: str = "target_id", parent: str = "sou
     adds that to the ancestor's. So the rounds are as many as the depth has binary digits, no pair of
     ancestor and descendant is spelled out, and what goes to a hub is aggregated before it is shuffled.
     """
-    solved = cut(hierarchy(links, child, parent)).filter("depth >= 0").select("node_id", "depth")
-    deepest = solved.agg(F.max("depth")).first()[0] or 0
+    solved = hierarchy(links, child, parent).filter("depth >= 0").select("node_id", "depth")
     known = solved.join(_parents(links, child, parent).withColumnRenamed("node", "node_id"), "node_id")
-    state = cut(known.select(F.col("node_id").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("h")))
+    # numbers are shuffled in place of ids
+    named = cut(known.select("node_id", "parent", "depth", F.monotonically_increasing_id().alias("node")))
+    deepest = named.agg(F.max("depth")).first()[0] or 0
+    placed = named.filter("parent is not null").select("node", "parent").join(named.select(F.col("node_id").alias("parent"), F.col("node").alias("up")), "parent").select("node", "up")
+    one, none = F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("h")
+    state = cut(placed.select("node", "up", one, none).unionByName(named.filter("parent is null").select("node", F.lit(None).cast("bigint").alias("up"), one, none)))
     for k in range(int(deepest).bit_length()):
-        below = state.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("more"), (F.max("h") + 2**k).alias("deep"))
-        above = state.filter("up is not null").select(F.col("node").alias("up"), F.col("up").alias("next"))
-        grown = state.join(below, "node", "left").join(above, "up", "left")
+        active = state.filter("up is not null")
+        below = active.groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("more"), (F.max("h") + 2**k).alias("deep"))
+        # tops have no number above; a number of their own spreads them, where null would put them together
+        above = active.select(F.col("node").alias("at"), F.col("up").alias("next"))
+        grown = state.join(below, "node", "left").withColumn("at", F.coalesce("up", -1 - F.col("node"))).join(above, "at", "left")
         state = cut(grown.select("node", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("h", F.coalesce("deep", F.lit(0))).alias("h")))
-    return state.filter("n > 1").select(F.col("node").alias("node_id"), (F.col("n") - 1).alias("descendants"), F.col("h").cast("int").alias("height"))
+    return state.filter("n > 1").join(named.select("node", "node_id"), "node").select("node_id", (F.col("n") - 1).alias("descendants"), F.col("h").cast("int").alias("height"))
