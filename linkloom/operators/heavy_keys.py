@@ -159,5 +159,6 @@ def edge_key_states(edges: DataFrame) -> DataFrame:
 
 def heavy_pairs(edges: DataFrame, share: float = 0.02) -> DataFrame:
     """(target_id, type), both non-null, that hold at least ``share`` of all rows as delivered."""
-    least = edges.count() * share
-    return edge_key_states(edges).filter(F.col("target_id").isNotNull() & F.col("type").isNotNull() & (F.col("n_rows") >= least)).select("target_id", "type")
+    states = edge_key_states(edges)
+    least = (states.agg(F.sum("n_rows")).first()[0] or 0) * share  # all rows, without another scan
+    return states.filter(F.col("target_id").isNotNull() & F.col("type").isNotNull() & (F.col("n_rows") >= least)).select("target_id", "type")
