@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -96,7 +96,20 @@ def clip_json(c: Column, limit: int) -> Column:
     """
     prefixes = F.transform(F.sequence(F.lit(0), F.least(F.char_length(c), F.lit(limit))), lambda i: F.substring(c, F.lit(1), i))
     longest = F.array_max(F.transform(F.filter(prefixes, lambda x: json_bytes(x) + 3 <= limit), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"]
-    return F.when(json_bytes(c) <= limit, c).otherwise(F.concat(F.coalesce(longest, F.lit("")), F.lit("…")))
+    return F.when(json_bytes(c) <= limit, c).when(c.isNotNull(), F.concat(F.coalesce(longest, F.lit("")), F.lit("…")))
+
+
+# Bytes of the JSON form of a cell, by the name of its column; all others have the last one.
+CELL_LIMITS = {
+    "id": 640, "container": 640, "file": 480, "path": 480, "line": 520, "kind": 64, "rel": 64, "direction": 64,
+    "edges": 64, "language": 64, "status": 64, "state": 64, "indexed_by": 64, "type": 64, "": 200,
+}
+
+
+def clip_cells(df: DataFrame) -> DataFrame:
+    """All text columns of an answer clipped to the limits of their names."""
+    texts = [name for name, kind in df.dtypes if kind == "string"]
+    return df.withColumns({name: clip_json(F.col(name), CELL_LIMITS.get(name, CELL_LIMITS[""])) for name in texts})
 
 
 def last_identifier(c: Column) -> Column:

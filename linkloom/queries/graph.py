@@ -15,8 +15,8 @@ from linkloom.sources.files import IGNORED, ignore_pattern
 
 #: Bytes of one page of an outline, and of the tables of one answer.
 OUTLINE_BYTES, DETAIL_BYTES = 4000, 1500
-#: Characters of an id from which it is long, bytes of a cell of an answer, and visits of a capped trace.
-LONG_ID, CELL_BYTES, FEW_VISITS = 640, 200, 40
+#: Characters of an id from which it is long, and visits of a capped trace.
+LONG_ID, FEW_VISITS = 640, 40
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -289,9 +289,9 @@ def document_ownership(spark, d):
 
 
 def clipped_cells(spark, d):
-    """Documentation as a cell of an answer, clipped by the bytes of its JSON form."""
-    n = _nodes(spark, d).filter("doc is not null")
-    return n.select("id", T.json_bytes(F.col("doc")).alias("bytes"), T.clip_json(F.col("doc"), CELL_BYTES).alias("doc"))
+    """Nodes with documentation as rows of an answer, each cell clipped by the bytes of its JSON form."""
+    n = _nodes(spark, d).filter("doc is not null").select("id", F.col("type").alias("kind"), F.col("file_path").alias("file"), T.json_bytes(F.col("doc")).alias("bytes"), "doc")
+    return T.clip_cells(n)
 
 
 def failure_summaries(spark, d):
@@ -388,6 +388,11 @@ def _json(c: str) -> str:
     return rf"(strlen({c}) + length({c}) - length(regexp_replace({c}, '[\"\\\n\r\t\x08\f]', '', 'g')) + 5 * (length({c}) - length(regexp_replace({c}, '[\x00-\x07\x0b\x0e-\x1f]', '', 'g'))) + 2)"
 
 
+def _clip_json(c: str, limit: int) -> str:
+    longest = f"list_max(list_filter(range(0, {limit} + 1), lambda i: {_json(f'left({c}, i)')} + 3 <= {limit}))"
+    return f"CASE WHEN {_json(c)} <= {limit} THEN {c} WHEN {c} IS NOT NULL THEN left({c}, {longest}) || '…' END"
+
+
 def _find(q: str, more: str, page: str) -> str:
     name = f"translate(name, {_UP})"
     return f"""WITH {_N}, {_L}, {_FAN} SELECT id, type kind, name, file_path, start_line, end_line, fan_in FROM s
@@ -514,8 +519,8 @@ ORACLE = {
     "document_ownership": f"""WITH {_N}, {_m()}, p AS (SELECT DISTINCT regexp_replace(regexp_replace(replace(file_path, '\\', '/'), '/+', '/', 'g'), '^(\\./)+', '') path FROM n WHERE file_path IS NOT NULL)
       SELECT path, CASE WHEN path IN (SELECT file_path FROM m) THEN 'listed' WHEN regexp_matches(lower(path), '\\.(rs|tsx?|[mc]ts|jsx?|[mc]js|pyi?)$') THEN 'skipped'
       WHEN {" OR ".join(f"regexp_matches(path, '{ignore_pattern(r)[0]}')" for r in IGNORED)} OR regexp_matches(path, '(?:^|/)\\.[^/]') THEN 'ignored' ELSE 'other' END state FROM p""",
-    "clipped_cells": f"""WITH {_N}, x AS (SELECT id, j->>'$.doc' doc FROM n WHERE j->>'$.doc' IS NOT NULL) SELECT id, {_json("doc")} bytes, CASE WHEN {_json("doc")} <= {CELL_BYTES} THEN doc
-      ELSE left(doc, list_max(list_filter(range(0, {CELL_BYTES} + 1), lambda i: {_json("left(doc, i)")} + 3 <= {CELL_BYTES}))) || '…' END doc FROM x""",
+    "clipped_cells": f"""WITH {_N}, x AS (SELECT id, type kind, file_path file, j->>'$.doc' doc FROM n WHERE j->>'$.doc' IS NOT NULL)
+      SELECT {", ".join(f"{_clip_json(c, T.CELL_LIMITS.get(c, T.CELL_LIMITS['']))} {c}" for c in ("id", "kind", "file", "doc"))}, {_json("doc")} bytes FROM x""",
     "failure_summaries": rf"""WITH x AS (SELECT DISTINCT id, output FROM index_runs WHERE output IS NOT NULL), y AS (SELECT id, list_filter(list_transform(regexp_split_to_array(output, '\r?\n'),
       lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), lambda t: t <> '' AND NOT (starts_with(t, 'at ') OR starts_with(t, 'Stack backtrace') OR regexp_matches(t, '^[0-9]+: +[^0-9 ]|^[0-9]+: +$'))) a FROM x),
       z AS (SELECT id, a, list_filter(a, lambda t: regexp_matches(lower(t), '{"|".join(w.replace("'", "''") for w in T.ERROR_WORDS)}')) e FROM y),

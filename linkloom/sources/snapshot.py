@@ -46,27 +46,38 @@ def _point(spark: SparkSession, root: str, version: dict) -> None:
     context.rename(following, fs.Path(f"{root}/CURRENT"), over)
 
 
-def write_snapshot(spark: SparkSession, root: str, relations: dict[str, DataFrame], name: str) -> str:
-    """Writes a snapshot and makes it current. A dangling edge leaves everything as it was."""
+def write_snapshot(spark: SparkSession, root: str, relations: dict[str, DataFrame], name: str, meta: dict[str, str] | None = None) -> str:
+    """Writes a snapshot and makes it current: RELATIONS and any others given, as index_runs, with ``meta``
+    beside the pointer. A dangling edge leaves everything as it was."""
     version = f"{root}/v={name}"
-    for key in RELATIONS:
+    for key in (*RELATIONS, *(k for k in relations if k not in RELATIONS)):
         relations[key].write.mode("overwrite").parquet(f"{version}/{key}")
     stored = {k: spark.read.parquet(f"{version}/{k}") for k in RELATIONS}
     lost = dangling(stored["edges"], stored["nodes"]).limit(1).collect()
     if lost:
         raise BrokenSnapshot(f"an edge has no {lost[0]['missing']}: {lost[0]['source']} -> {lost[0]['target']}")
-    _point(spark, root, {"version": name, "schema_version": SCHEMA_VERSION})
+    _point(spark, root, {"version": name, "schema_version": SCHEMA_VERSION, "relations": sorted(relations), "meta": meta or {}})
     return version
 
 
-def open_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The current relations; looked up again at each call, so a newer snapshot is seen."""
+def _current(spark: SparkSession, root: str) -> dict:
     at = _pointer(spark, root)
     if at is None:
         raise FileNotFoundError(f"no snapshot below {root}: run a build first")
     if at["schema_version"] != SCHEMA_VERSION:
         raise ValueError(f"the snapshot has layout {at['schema_version']}, not {SCHEMA_VERSION}: run a build again")
-    return {k: spark.read.parquet(f"{root}/v={at['version']}/{k}") for k in RELATIONS}
+    return at
+
+
+def open_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The current relations; looked up again at each call, so a newer snapshot is seen."""
+    at = _current(spark, root)
+    return {k: spark.read.parquet(f"{root}/v={at['version']}/{k}") for k in at["relations"]}
+
+
+def meta_of(spark: SparkSession, root: str) -> dict[str, str]:
+    """What was noted with the current snapshot."""
+    return _current(spark, root)["meta"]
 
 
 def counts(relations: dict[str, DataFrame]) -> DataFrame:
@@ -77,7 +88,17 @@ def counts(relations: dict[str, DataFrame]) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy().pivot("k", ["nodes", "edges", "files", "covered"]).agg(F.first("v"))
 
 
-def export_json(relations: dict[str, DataFrame], path: str) -> None:
-    """The relations as JSON lines, a folder each."""
-    for key in RELATIONS:
+def coverage(relations: dict[str, DataFrame]) -> DataFrame:
+    """(language, files, covered) of a snapshot."""
+    return relations["manifest"].groupBy("language").agg(F.count("*").alias("files"), F.count("indexed_by").alias("covered"))
+
+
+def export_json(relations: dict[str, DataFrame], path: str, meta: dict[str, str] | None = None) -> None:
+    """The relations as JSON lines, a folder each, and in ``summary`` one line with what was noted, the
+    statistics and the coverage by language."""
+    for key in relations:
         relations[key].write.mode("overwrite").json(f"{path}/{key}")
+    listed = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))  # noqa: E731  # a row for each counter or language
+    noted = [F.lit(v).alias(k) for k, v in {"version": str(SCHEMA_VERSION), **(meta or {})}.items()]
+    both = listed(relations["stats"], "stats").withColumn("one", F.lit(1)).join(listed(coverage(relations), "coverage").withColumn("one", F.lit(1)), "one")
+    both.select(*noted, "stats", "coverage").coalesce(1).write.mode("overwrite").json(f"{path}/summary")

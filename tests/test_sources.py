@@ -51,9 +51,14 @@ def test_index_to_snapshot_and_back(spark, tmp_path):
     with pytest.raises(snapshot.BrokenSnapshot):
         snapshot.write_snapshot(spark, root, bad, "2")
     assert snapshot.open_snapshot(spark, root)["nodes"].count() == 3
-    snapshot.write_snapshot(spark, root, relations, "3")
+    runs = spark.createDataFrame([(1, "rust", "ok")], "id long, indexer string, status string")
+    snapshot.write_snapshot(spark, root, relations | {"index_runs": runs}, "3", {"generated_at": "2026-01-01"})
+    assert snapshot.meta_of(spark, root) == {"generated_at": "2026-01-01"} and snapshot.open_snapshot(spark, root)["index_runs"].count() == 1
     assert "v=3" in snapshot.open_snapshot(spark, root)["nodes"].inputFiles()[0]
-    snapshot.export_json(current, str(tmp_path / "json"))
+    snapshot.export_json(snapshot.open_snapshot(spark, root), str(tmp_path / "json"), snapshot.meta_of(spark, root))
+    summary = spark.read.json(str(tmp_path / "json/summary")).first()
+    assert (summary.version, summary.generated_at) == ("2", "2026-01-01") and [tuple(r) for r in summary.coverage] == [(1, 1, "rust")]
+    assert {r.name: r.value for r in summary.stats}["definitions"] == 1
     assert spark.read.json(str(tmp_path / "json/nodes")).count() == 3
 
 
